@@ -76,8 +76,8 @@ def modularity_edges(edges: DataFrame, communities: DataFrame, group_cols=()) ->
     cj = communities.select(*g, F.col("node").alias("j"), F.col("community").alias("cj"))
     ki = deg.select(*g, F.col("node").alias("i"), F.col("k").alias("ki"))
     kj = deg.select(*g, F.col("node").alias("j"), F.col("k").alias("kj"))
-    intra = edges.join(ci, [*g, "i"]).join(cj, [*g, "j"]).where(F.col("ci") == F.col("cj")) \
-        .join(ki, [*g, "i"]).join(kj, [*g, "j"])
+    intra = _with_m(edges.join(ci, [*g, "i"]).join(cj, [*g, "j"]).where(F.col("ci") == F.col("cj"))
+                    .join(ki, [*g, "i"]).join(kj, [*g, "j"]), m, g)
     term = F.col("weight").cast("double") - F.col("ki") * F.col("kj") / (2 * F.col("m"))
     s = intra.groupBy(*g).agg(F.sum(term).alias("s"))
     out = m.join(s, g, "left") if g else m.withColumn("s", s.select("s").scalar())
@@ -144,14 +144,16 @@ def _parity(node: Column, rnd: int) -> Column:
 
 
 def louvain(edges: DataFrame, max_iterations: int = 50, epsilon: float = 1e-4,
-            group_cols=(), init: DataFrame | None = None, checkpoint_every: int = 4,
+            group_cols=(), init: DataFrame | None = None, checkpoint_every: int = 1,
             stats: list | None = None) -> DataFrame:
     """Level-1 Louvain local moving in bulk rounds. Returns (g, node, community).
 
     Each round one half of the nodes (by hash parity, alternating) takes its
     best move, so neighbours cannot swap back and forth. The loop ends after
     two rounds in a row without a move, or at max_iterations. The driver only
-    sees one count per round; lineage is cut by reliable checkpoints.
+    sees one count per round. The assignment table is written as a reliable
+    checkpoint after each round: it is nodes-sized, and without the cut each
+    round's plan would nest the previous one several times over.
     """
     g = _g(group_cols)
     adj = symmetric(edges, g).persist()
@@ -162,7 +164,7 @@ def louvain(edges: DataFrame, max_iterations: int = 50, epsilon: float = 1e-4,
     else:
         comm = deg.select(*g, "node").join(init, [*g, "node"], "left") \
             .select(*g, "node", F.coalesce("community", "node").alias("community"))
-    comm = iterate.materialize(comm)
+    comm = iterate.materialize(comm, checkpoint=True)
     quiet = 0
     for rnd in range(max_iterations):
         cand = gains(adj, deg, m, comm, g)
