@@ -6,9 +6,10 @@ Every step is a DataFrame transformation. Shuffles, in order:
   so one huge basket is spread by item;
 * the join with the order windows on the order key (adaptive skew join splits
   a hot order);
-* basket sizes: partial aggregation on (window, order);
-* the pair self-join on (window, order, salt): a basket of n items is cut into
-  ceil(n / hot_basket_items) salt slices of its right side, each slice joined
+* basket sizes: partial aggregation on (window, order), joined back;
+* pairs: baskets up to hot_basket_items are collected (bounded) and expanded
+  in place; bigger baskets use a self-join on (window, order, salt) where
+  the right side is cut into ceil(n / hot_basket_items) slices, each joined
   with the whole left side in its own task, so one basket never produces all
   of its pairs in one task;
 * pair counts and item counts: partial aggregation, then shuffle on the key;
@@ -98,26 +99,46 @@ def basket_sets(items: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_set("product_id")).alias("products"))
 
 
+def _pairs_of(arr):
+    """All (a[x], a[y]) with x < y of a sorted array, as an array of structs."""
+    n = F.size(arr)
+    return F.flatten(F.transform(
+        F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))),
+        lambda x: F.transform(F.slice(arr, x + 2, F.greatest(n - x - 1, F.lit(1))),
+                              lambda y: F.struct(arr[x].alias("i"), y.alias("j")))))
+
+
 def basket_pairs(items: DataFrame, hot_basket_items: int = DEFAULT_HOT_BASKET_ITEMS) -> DataFrame:
     """Distinct unordered pairs i < j inside each basket: (window_id, order_id, i, j).
 
-    Exact for any basket size. Baskets above ``hot_basket_items`` are split:
-    the right side is cut into ``ceil(n / hot_basket_items)`` slices by item
-    hash, the left side is copied once per slice, and the join key includes
-    the slice, so a hot basket's quadratic work spreads over many tasks.
+    Exact for any basket size, in two paths chosen per basket:
+
+    * baskets of at most ``hot_basket_items`` items (a proven bound) are
+      collected and their pairs generated in place with array functions,
+      with no further shuffle;
+    * larger baskets go to a salted self-join: the right side is cut into
+      ``ceil(n / hot_basket_items)`` slices by item hash, the left side is
+      copied once per slice and the join key includes the slice, so one hot
+      basket's quadratic work spreads over many tasks.
     """
-    sizes = items.groupBy("window_id", "order_id").agg(F.count(F.lit(1)).alias("_n"))
-    sized = items.join(sizes, ["window_id", "order_id"]) \
-        .withColumn("_slices", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(hot_basket_items))).cast("int"))
-    left = sized.select("window_id", "order_id", F.col("product_id").alias("i"),
-                        F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_salt"))
-    right = sized.select("window_id", "order_id", F.col("product_id").alias("j"),
-                         F.pmod(F.xxhash64("product_id"), F.col("_slices")).cast("int").alias("_salt"))
-    keys = ["window_id", "order_id", "_salt"]
-    left = left.repartition(*keys)
-    right = right.repartition(*keys)
-    return left.join(right, keys).where(F.col("i") < F.col("j")) \
-        .select("window_id", "order_id", "i", "j")
+    keys = ["window_id", "order_id"]
+    sizes = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sized = items.join(sizes, keys)
+    small = sized.where(F.col("_n") <= hot_basket_items).groupBy(*keys) \
+        .agg(F.sort_array(F.collect_list("product_id")).alias("_items"))
+    small_pairs = small.where(F.size("_items") > 1) \
+        .select(*keys, F.explode(_pairs_of(F.col("_items"))).alias("_p")) \
+        .select(*keys, F.col("_p.i").alias("i"), F.col("_p.j").alias("j"))
+    big = sized.where(F.col("_n") > hot_basket_items) \
+        .withColumn("_slices", F.ceil(F.col("_n") / F.lit(hot_basket_items)).cast("int"))
+    left = big.select(*keys, F.col("product_id").alias("i"),
+                      F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_salt"))
+    right = big.select(*keys, F.col("product_id").alias("j"),
+                       F.pmod(F.xxhash64("product_id"), F.col("_slices")).cast("int").alias("_salt"))
+    skeys = [*keys, "_salt"]
+    big_pairs = left.repartition(*skeys).join(right.repartition(*skeys), skeys) \
+        .where(F.col("i") < F.col("j")).select(*keys, "i", "j")
+    return small_pairs.unionByName(big_pairs)
 
 
 def cooccurrence(items: DataFrame, windows: DataFrame,

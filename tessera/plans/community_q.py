@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import basket as B
 from tessera.operators import community as C
+from tessera.operators import iterate
 from tessera.plans.basket_q import CTE, NUM_PARTITIONS, edges, partitioned
 from tessera.plans.registry import register
 from tessera.session import scratch_path
@@ -28,7 +29,9 @@ GAIN_DIGITS = 12
 
 
 def graph(spark, sf_dir, keep="first"):
-    return C.union_dedup(edges(spark, sf_dir), "norm_score", keep)
+    """The merged item graph, written once as a reliable checkpoint: every
+    query below reads it several times (degrees, m, communities, edges)."""
+    return iterate.materialize(C.union_dedup(edges(spark, sf_dir), "norm_score", keep), checkpoint=True)
 
 
 def brand_communities(spark, sf_dir, g=None):
