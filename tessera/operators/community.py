@@ -139,6 +139,45 @@ def best_moves(cands: DataFrame, epsilon: float = 1e-4, group_cols=(), digits: i
                        F.col("b.raw").alias("gain")).where(F.col("gain") > epsilon)
 
 
+def round_moves(adj: DataFrame, deg: DataFrame, m: DataFrame, comm: DataFrame, epsilon: float,
+                group_cols=(), digits: int = 12) -> DataFrame:
+    """One Louvain round's best moves with a single per-node aggregation.
+
+    For a node, gain(c) = score(c) - score(cur) - k^2/(2m^2) with
+    score(c) = k_in(c)/m - k tot(c)/(2m^2); the last two terms do not depend
+    on c, so the best candidate is the one of largest score (rounded to
+    `digits`, ties to the lowest id), and k_in(cur) is summed in the same
+    aggregation. A node alone in its community may join another lone node
+    only if that node's id is lower: simultaneous moves cannot then rotate
+    singletons around a cycle. Returns (g, node, community, gain > epsilon).
+    """
+    g = _g(group_cols)
+    ni = deg.join(comm, [*g, "node"]).select(*g, "node", "k", F.col("community").alias("cur"))
+    tot = ni.groupBy(*g, F.col("cur").alias("community")).agg(F.sum("k").alias("tot"),
+                                                             F.count(F.lit(1)).alias("size"))
+    ni2 = ni.join(tot.select(*g, F.col("community").alias("cur"), F.col("tot").alias("tot_cur"),
+                             F.col("size").alias("size_cur")), [*g, "cur"])
+    nbr = comm.select(*g, F.col("node").alias("dst"), "community")
+    kin = adj.join(nbr, [*g, "dst"]).groupBy(*g, F.col("src").alias("node"), "community") \
+        .agg(F.sum("w").alias("kin"))
+    rows = _with_m(kin.join(ni2, [*g, "node"]).join(tot, [*g, "community"]), m, g)
+    mm = F.col("m")
+    score = F.col("kin") / mm - F.col("k") * F.col("tot") / (2 * mm * mm)
+    is_cur = F.col("community") == F.col("cur")
+    lone_up = (F.col("size_cur") == 1) & (F.col("size") == 1) & (F.col("community") > F.col("cur"))
+    per = rows.groupBy(*g, "node").agg(
+        F.max(F.when(~is_cur & ~lone_up, F.struct(F.round(score, digits).alias("s"),
+                                                  (-F.col("community")).alias("neg"), score.alias("raw"))))
+        .alias("b"),
+        F.sum(F.when(is_cur, F.col("kin")).otherwise(F.lit(0.0))).alias("kin_cur"),
+        F.first("k").alias("k"), F.first("m").alias("m"), F.first("tot_cur").alias("tot_cur"))
+    gain = (F.col("b.raw") - (F.col("kin_cur") / mm - F.col("k") * F.col("tot_cur") / (2 * mm * mm))
+            - F.col("k") * F.col("k") / (2 * mm * mm))
+    return per.where(F.col("b").isNotNull()) \
+        .select(*g, "node", (-F.col("b.neg")).alias("community"), gain.alias("gain")) \
+        .where(F.col("gain") > epsilon)
+
+
 def _parity(node: Column, rnd: int) -> Column:
     return F.pmod(F.xxhash64(node) + F.lit(rnd), F.lit(2)) == 0
 
@@ -149,11 +188,13 @@ def louvain(edges: DataFrame, max_iterations: int = 50, epsilon: float = 1e-4,
     """Level-1 Louvain local moving in bulk rounds. Returns (g, node, community).
 
     Each round one half of the nodes (by hash parity, alternating) takes its
-    best move, so neighbours cannot swap back and forth. The loop ends after
-    two rounds in a row without a move, or at max_iterations. The driver only
-    sees one count per round. The assignment table is written as a reliable
-    checkpoint after each round: it is nodes-sized, and without the cut each
-    round's plan would nest the previous one several times over.
+    best move, so neighbours cannot swap back and forth; lone nodes join
+    other lone nodes only downwards in id. A round is kept only if it raises
+    the (summed) modularity, so the loop cannot cycle; it ends after two
+    rounds in a row without a kept move, or at max_iterations. The driver
+    sees one count and one modularity value per round. The assignment table
+    (nodes-sized) is written as a reliable checkpoint after each round;
+    without the cut each round's plan would nest the previous one.
     """
     g = _g(group_cols)
     adj = symmetric(edges, g).persist()
@@ -165,22 +206,27 @@ def louvain(edges: DataFrame, max_iterations: int = 50, epsilon: float = 1e-4,
         comm = deg.select(*g, "node").join(init, [*g, "node"], "left") \
             .select(*g, "node", F.coalesce("community", "node").alias("community"))
     comm = iterate.materialize(comm, checkpoint=True)
+    q = _q_standard(edges, comm, deg, m, g)
     quiet = 0
     for rnd in range(max_iterations):
-        cand = gains(adj, deg, m, comm, g)
-        moves = best_moves(cand, epsilon, g).where(_parity(F.col("node"), rnd)) \
+        moves = round_moves(adj, deg, m, comm, epsilon, g).where(_parity(F.col("node"), rnd)) \
             .select(*g, "node", F.col("community").alias("new"))
         moves, n_moves = iterate.persisted_count(moves)
-        if stats is not None:
-            stats.append({"round": rnd + 1, "moves": n_moves})
+        accepted = False
         if n_moves:
             nxt = comm.join(moves, [*g, "node"], "left") \
                 .select(*g, "node", F.coalesce("new", "community").alias("community"))
             nxt = iterate.materialize(nxt, checkpoint=(rnd + 1) % checkpoint_every == 0)
-            comm.unpersist()
-            comm = nxt
+            q_new = _q_standard(edges, nxt, deg, m, g)
+            if q_new > q + 1e-12:
+                comm.unpersist()
+                comm, q, accepted = nxt, q_new, True
+            else:
+                nxt.unpersist()
         moves.unpersist()
-        quiet = quiet + 1 if n_moves == 0 else 0
+        if stats is not None:
+            stats.append({"round": rnd + 1, "moves": n_moves if accepted else 0, "q": q})
+        quiet = 0 if accepted else quiet + 1
         if quiet >= 2:
             break
     adj.unpersist()
@@ -189,6 +235,18 @@ def louvain(edges: DataFrame, max_iterations: int = 50, epsilon: float = 1e-4,
     return smallest_member_ids(comm, g)
 
 
+def _q_standard(edges: DataFrame, comm: DataFrame, deg: DataFrame, m: DataFrame, g: list[str]) -> float:
+    """Sum over groups of the textbook modularity of an assignment (a scalar)."""
+    ci = comm.select(*g, F.col("node").alias("i"), F.col("community").alias("ci"))
+    cj = comm.select(*g, F.col("node").alias("j"), F.col("community").alias("cj"))
+    intra = edges.join(ci, [*g, "i"]).join(cj, [*g, "j"]).where(F.col("ci") == F.col("cj")) \
+        .groupBy(*g, F.col("ci").alias("community")).agg(F.sum(F.col("weight").cast("double")).alias("L"))
+    dc = deg.join(comm, [*g, "node"]).groupBy(*g, "community").agg(F.sum("k").alias("d"))
+    per = _with_m(dc.join(intra, [*g, "community"], "left"), m, g)
+    term = F.coalesce(F.col("L"), F.lit(0.0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), 2)
+    return float(per.agg(F.sum(term)).first()[0] or 0.0)
+
+
 def smallest_member_ids(comm: DataFrame, group_cols=()) -> DataFrame:
     """Rename every community after its smallest member."""
     g = _g(group_cols)

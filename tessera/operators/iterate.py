@@ -17,7 +17,10 @@ from tessera.session import ensure_checkpoint_dir
 def materialize(df: DataFrame, checkpoint: bool = False) -> DataFrame:
     if checkpoint:
         ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)  # the checkpoint write reads the cache
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+        return out
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     return out
