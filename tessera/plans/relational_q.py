@@ -562,3 +562,40 @@ def q_set_except(spark, sf_dir):
 def q_set_except_all(spark, sf_dir):
     a, b = _sets(spark, sf_dir)
     return a.exceptAll(b)
+
+
+@register("join_left_right_full", f"""
+SELECT 'left' AS kind, c_custkey AS ckey, o_orderkey AS okey FROM customer
+  LEFT JOIN (SELECT * FROM orders WHERE {_URGENT}) o ON o_custkey = c_custkey
+UNION ALL SELECT 'right', c_custkey, o_orderkey FROM (SELECT * FROM orders WHERE {_URGENT}) o
+  RIGHT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') c ON o_custkey = c_custkey
+UNION ALL SELECT 'full', c_custkey, o_orderkey FROM (SELECT * FROM orders WHERE {_URGENT}) o
+  FULL JOIN (SELECT * FROM customer WHERE c_mktsegment = 'MACHINERY') c ON o_custkey = c_custkey""")
+def q_join_left_right_full(spark, sf_dir):
+    """The three outer joins side by side, tagged by kind."""
+    c = t(spark, sf_dir, "customer")
+    o = _urgent(spark, sf_dir)
+    cb = c.where("c_mktsegment = 'BUILDING'")
+    cm = c.where("c_mktsegment = 'MACHINERY'")
+    left = c.join(o, c.c_custkey == o.o_custkey, "left").select(F.lit("left").alias("kind"), "c_custkey", "o_orderkey")
+    right = o.join(cb, o.o_custkey == cb.c_custkey, "right").select(F.lit("right").alias("kind"), "c_custkey", "o_orderkey")
+    full = o.join(cm, o.o_custkey == cm.c_custkey, "full").select(F.lit("full").alias("kind"), "c_custkey", "o_orderkey")
+    return left.union(right).union(full).select("kind", F.col("c_custkey").alias("ckey"), F.col("o_orderkey").alias("okey"))
+
+
+@register("sql_query", """
+WITH big AS (SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_retailprice > 950)
+SELECT b.p_partkey, w.word, (SELECT count(*) FROM lineitem l WHERE l.l_partkey = b.p_partkey) AS n_lines
+FROM big b, (SELECT p_partkey AS k, unnest(string_split(p_name, ' ')) AS word FROM part) w
+WHERE w.k = b.p_partkey AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = b.p_partkey AND l.l_quantity >= 45)""")
+def q_sql_query(spark, sf_dir):
+    """One SQL text with a CTE, a named parameter, LATERAL VIEW, a correlated
+    scalar subquery and EXISTS."""
+    register_views(spark, sf_dir, ["part", "lineitem"])
+    return spark.sql("""
+        WITH big AS (SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_retailprice > :min_price)
+        SELECT b.p_partkey, word,
+               (SELECT count(*) FROM lineitem l WHERE l.l_partkey = b.p_partkey) AS n_lines
+        FROM big b LATERAL VIEW explode(split(b.p_name, ' ')) w AS word
+        WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = b.p_partkey AND l.l_quantity >= 45)""",
+                     args={"min_price": 950})

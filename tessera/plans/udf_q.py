@@ -62,7 +62,7 @@ def net_iter(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield price * (1 - disc)
 
 
-@F.pandas_udf("lo double, hi double")
+@F.pandas_udf(T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
 def price_band(price: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"lo": (price // 1000) * 1000, "hi": (price // 1000) * 1000 + 1000})
 
@@ -139,7 +139,8 @@ def q_udf_map(spark, sf_dir):
     return step1.mapInArrow(flag_big, "l_orderkey long, l_linenumber int, l_partkey long, gross double, big boolean")
 
 
-@F.udtf(returnType="line_no: int, n_words: int")
+@F.udtf(returnType=T.StructType([T.StructField("line_no", T.IntegerType()),
+                                 T.StructField("n_words", T.IntegerType())]))
 class LineStats:
     """One row per line of a whole text: its number and word count."""
 
@@ -150,7 +151,8 @@ class LineStats:
             yield k + 1, len(line.split(" "))
 
 
-@F.udtf(returnType="lang: string, n_docs: int")
+@F.udtf(returnType=T.StructType([T.StructField("lang", T.StringType()),
+                                 T.StructField("n_docs", T.IntegerType())]))
 class CountByPartition:
     """Table argument partitioned by lang: counts rows, emits in terminate."""
 
