@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.operators import basket as B
 from tessera.operators import community as C
 from tessera.operators import iterate
-from tessera.plans.basket_q import CTE, NUM_PARTITIONS, edges, partitioned
+from tessera.plans.basket_q import CTE, edges, partitioned
 from tessera.plans.registry import register
 from tessera.session import scratch_path
 from tessera.sources.tables import read
