@@ -139,17 +139,21 @@ def best_moves(cands: DataFrame, epsilon: float = 1e-4, group_cols=(), digits: i
                        F.col("b.raw").alias("gain")).where(F.col("gain") > epsilon)
 
 
-def round_moves(adj: DataFrame, deg: DataFrame, m: DataFrame, comm: DataFrame, epsilon: float,
-                group_cols=(), digits: int = 12) -> DataFrame:
-    """One Louvain round's best moves with a single per-node aggregation.
+def round_state(adj: DataFrame, deg: DataFrame, m: DataFrame, comm: DataFrame,
+                group_cols=(), digits: int = 12):
+    """One Louvain round's per-node state with a single per-node aggregation.
 
     For a node, gain(c) = score(c) - score(cur) - k^2/(2m^2) with
     score(c) = k_in(c)/m - k tot(c)/(2m^2); the last two terms do not depend
     on c, so the best candidate is the one of largest score (rounded to
     `digits`, ties to the lowest id), and k_in(cur) is summed in the same
     aggregation. A node alone in its community may join another lone node
-    only if that node's id is lower: simultaneous moves cannot then rotate
-    singletons around a cycle. Returns (g, node, community, gain > epsilon).
+    only if that node's id is lower, so simultaneous moves cannot rotate
+    singletons around a cycle.
+
+    Returns (per, tot): per = (g, node, community, gain, kin_cur) with the
+    best candidate (null when none), tot = (g, community, tot, size).
+    The modularity of `comm` follows from them: sum(kin_cur)/2m - sum(tot^2)/4m^2.
     """
     g = _g(group_cols)
     ni = deg.join(comm, [*g, "node"]).select(*g, "node", "k", F.col("community").alias("cur"))
@@ -173,9 +177,25 @@ def round_moves(adj: DataFrame, deg: DataFrame, m: DataFrame, comm: DataFrame, e
         F.first("k").alias("k"), F.first("m").alias("m"), F.first("tot_cur").alias("tot_cur"))
     gain = (F.col("b.raw") - (F.col("kin_cur") / mm - F.col("k") * F.col("tot_cur") / (2 * mm * mm))
             - F.col("k") * F.col("k") / (2 * mm * mm))
-    return per.where(F.col("b").isNotNull()) \
-        .select(*g, "node", (-F.col("b.neg")).alias("community"), gain.alias("gain")) \
-        .where(F.col("gain") > epsilon)
+    per = per.select(*g, "node", F.when(F.col("b").isNotNull(), -F.col("b.neg")).alias("community"),
+                     F.when(F.col("b").isNotNull(), gain).alias("gain"), "kin_cur")
+    return per, tot
+
+
+def round_moves(adj: DataFrame, deg: DataFrame, m: DataFrame, comm: DataFrame, epsilon: float,
+                group_cols=(), digits: int = 12) -> DataFrame:
+    """Best moves of one round: (g, node, community, gain) with gain > epsilon."""
+    per, _ = round_state(adj, deg, m, comm, group_cols, digits)
+    return per.where(F.col("gain") > epsilon).select(*_g(group_cols), "node", "community", "gain")
+
+
+def _modularity_of(per: DataFrame, tot: DataFrame, m: DataFrame, g: list[str]) -> DataFrame:
+    """(g, q): textbook modularity of the assignment a round_state was built on."""
+    a = per.groupBy(*g).agg(F.sum("kin_cur").alias("_in"))
+    b = tot.groupBy(*g).agg(F.sum(F.col("tot") * F.col("tot")).alias("_sq"))
+    j = (a.join(b, g) if g else a.withColumn("_sq", b.select("_sq").scalar()))
+    j = _with_m(j, m, g)
+    return j.select(*g, (F.col("_in") / (2 * F.col("m")) - F.col("_sq") / (4 * F.col("m") * F.col("m"))).alias("q"))
 
 
 def _parity(node: Column, rnd: int) -> Column:
@@ -205,48 +225,74 @@ def louvain(edges: DataFrame, max_iterations: int = 50, epsilon: float = 1e-4,
     else:
         comm = deg.select(*g, "node").join(init, [*g, "node"], "left") \
             .select(*g, "node", F.coalesce("community", "node").alias("community"))
-    comm = iterate.materialize(comm, checkpoint=True)
-    q = _q_standard(edges, comm, deg, m, g)
+    comm = iterate.write_table(comm, "louvain-assign")
+
+    gk = g or ["_all"]
+    mk = m if g else m.withColumn("_all", F.lit(1))
+
+    def info(per, tot, rnd):
+        """{group: (modularity, moves for round rnd)} in one job: one row per
+        group (groups are graph partitions: a bounded handful of numbers)."""
+        pk = per if g else per.withColumn("_all", F.lit(1))
+        tk = tot if g else tot.withColumn("_all", F.lit(1))
+        go = (F.col("gain") > epsilon) & _parity(F.col("node"), rnd)
+        a = pk.groupBy(*gk).agg(F.sum("kin_cur").alias("_in"), F.sum(F.when(go, 1).otherwise(0)).alias("n"))
+        b = tk.groupBy(*gk).agg(F.sum(F.col("tot") * F.col("tot")).alias("_sq"))
+        j = a.join(b, gk).join(F.broadcast(mk), gk)
+        q = F.col("_in") / (2 * F.col("m")) - F.col("_sq") / (4 * F.col("m") * F.col("m"))
+        return {tuple(r[c] for c in g): (r["q"], r["n"] or 0) for r in j.select(*gk, q.alias("q"), "n").collect()}
+
+    def state(assign, rnd):
+        per, tot = round_state(adj, deg, m, assign, g)
+        per, tot = per.persist(), tot.persist()
+        return per, tot, info(per, tot, rnd)
+
+    per, tot, cur = state(comm, 0)
     quiet = 0
     for rnd in range(max_iterations):
-        moves = round_moves(adj, deg, m, comm, epsilon, g).where(_parity(F.col("node"), rnd)) \
-            .select(*g, "node", F.col("community").alias("new"))
-        moves, n_moves = iterate.persisted_count(moves)
-        accepted = False
+        if rnd > 0 and cur is None:
+            cur = info(per, tot, rnd)
+        n_moves = sum(n for _, n in cur.values())
+        accepted = 0
         if n_moves:
-            nxt = comm.join(moves, [*g, "node"], "left") \
-                .select(*g, "node", F.coalesce("new", "community").alias("community"))
-            nxt = iterate.materialize(nxt, checkpoint=(rnd + 1) % checkpoint_every == 0)
-            q_new = _q_standard(edges, nxt, deg, m, g)
-            if q_new > q + 1e-12:
-                comm.unpersist()
-                comm, q, accepted = nxt, q_new, True
+            moves = per.where((F.col("gain") > epsilon) & _parity(F.col("node"), rnd)) \
+                .select(*g, "node", F.col("community").alias("new"))
+            nxt = iterate.write_table(comm.join(moves, [*g, "node"], "left").select(
+                *g, "node", F.coalesce("new", "community").alias("community")), "louvain-assign")
+            per_n, tot_n, new = state(nxt, rnd + 1)
+            better = [k for k in new if new[k][0] > cur.get(k, (float("-inf"), 0))[0] + 1e-12]
+            accepted = len(better)
+            if accepted == len(new):
+                per.unpersist()
+                tot.unpersist()
+                comm, per, tot, cur = nxt, per_n, tot_n, new
+            elif accepted:
+                # grouped: improved groups take the new assignment, the others keep
+                # theirs; the state is rebuilt from the written table (flat plans)
+                keys = per.sparkSession.createDataFrame([list(k) for k in better], per.select(*g).schema)
+                merged = nxt.join(keys, g, "left_semi").unionByName(comm.join(keys, g, "left_anti"))
+                comm = iterate.write_table(merged, "louvain-assign")
+                for df in (per, tot, per_n, tot_n):
+                    df.unpersist()
+                per, tot, cur = state(comm, rnd + 1)
             else:
-                nxt.unpersist()
-        moves.unpersist()
+                per_n.unpersist()
+                tot_n.unpersist()
+                cur = None
+        else:
+            cur = None
         if stats is not None:
-            stats.append({"round": rnd + 1, "moves": n_moves if accepted else 0, "q": q})
+            stats.append({"round": rnd + 1, "moves": n_moves if accepted else 0, "groups_improved": accepted})
         quiet = 0 if accepted else quiet + 1
         if quiet >= 2:
             break
+    per.unpersist()
     adj.unpersist()
     deg.unpersist()
     m.unpersist()
     return smallest_member_ids(comm, g)
 
 
-def _q_standard(edges: DataFrame, comm: DataFrame, deg: DataFrame, m: DataFrame, g: list[str]) -> float:
-    """Sum over groups of the textbook modularity of an assignment (a scalar)."""
-    ci = comm.select(*g, F.col("node").alias("i"), F.col("community").alias("ci"))
-    cj = comm.select(*g, F.col("node").alias("j"), F.col("community").alias("cj"))
-    intra = edges.join(ci, [*g, "i"]).join(cj, [*g, "j"]).where(F.col("ci") == F.col("cj")) \
-        .groupBy(*g, F.col("ci").alias("community")).agg(F.sum(F.col("weight").cast("double")).alias("L"))
-    dc = deg.join(comm, [*g, "node"]).groupBy(*g, "community").agg(F.sum("k").alias("d"))
-    per = _with_m(dc.join(intra, [*g, "community"], "left"), m, g)
-    term = F.coalesce(F.col("L"), F.lit(0.0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), 2)
-    return float(per.agg(F.sum(term)).first()[0] or 0.0)
-
-
 def smallest_member_ids(comm: DataFrame, group_cols=()) -> DataFrame:
     """Rename every community after its smallest member."""
     g = _g(group_cols)

@@ -29,3 +29,13 @@ def materialize(df: DataFrame, checkpoint: bool = False) -> DataFrame:
 def persisted_count(df: DataFrame) -> tuple[DataFrame, int]:
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
     return out, out.count()
+
+
+def write_table(df: DataFrame, tag: str = "round") -> DataFrame:
+    """Write a frame as Parquet below the shared checkpoint folder and read it
+    back: one job, and the result's lineage starts at the written files."""
+    from tessera.session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
