@@ -287,6 +287,7 @@ def louvain(edges: DataFrame, max_iterations: int = 50, epsilon: float = 1e-4,
         if quiet >= 2:
             break
     per.unpersist()
+    tot.unpersist()
     adj.unpersist()
     deg.unpersist()
     m.unpersist()
@@ -378,7 +379,9 @@ def khop_region(graph: DataFrame, affected: DataFrame, communities: DataFrame, h
     adj = symmetric(graph).select(F.col("src").alias("node"), F.col("dst"))
     for _ in range(hops):
         step = adj.join(region, "node", "left_semi").select(F.col("dst").alias("node"))
-        region = iterate.materialize(region.union(step).distinct())
+        grown = iterate.materialize(region.union(step).distinct())
+        region.unpersist()
+        region = grown
     return region
 
 
