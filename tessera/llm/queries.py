@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing
+from tessera.llm import exact_dedup, mixing, pii, secrets
 from tessera.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,29 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY body)""")
 def op7(spark, sf_dir):
     return exact_dedup.classify(read(spark, sf_dir, "documents"))
+
+
+def _listed(kinds):
+    """kind:start:end of the spans of these kinds, comma-joined, in the spans' order."""
+    mine = F.filter("spans", lambda s: s["kind"].isin(*kinds)) if kinds else F.col("spans")
+    return F.array_join(F.transform(mine, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _counts(kinds) -> list:
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return [count(k) for k in kinds]
+
+
+@register("op2_pii")
+def op2(spark, sf_dir):
+    found = pii.find_pii(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *_counts(pii.BASE_KINDS), F.sha2(_listed(pii.BASE_KINDS), 256).alias("base_sha256"),
+                        _listed(()).alias("spans"))
+
+
+@register("op3_secrets")
+def op3(spark, sf_dir):
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *_counts(secrets.BASE_KINDS),
+                        F.sha2(_listed(secrets.BASE_KINDS), 256).alias("base_sha256"), _listed(()).alias("spans"))

@@ -1,0 +1,142 @@
+"""Secrets: fixed shapes, and a randomness battery for the rest. Expressions only.
+
+Base shapes (assign, access, hex) are found by pattern; positions come from the
+lengths of the pieces between the matches. Further candidates are runs of 20 or
+more base64 characters. Each candidate's encoding is inferred from its
+characters (hex, base32, base64), and three tests ask whether it is random in
+that alphabet: chi-squared for uniformity, the runs test and the lag-1 serial
+correlation. The smallest p-value, times three, is the candidate's. Candidates
+whose randomness is rejected are no secrets. Rejection is controlled by
+Benjamini-Hochberg inside each (encoding, length band), since a short string
+gives the tests less power; p-values are rounded up to hundredths of a decade,
+so that the step-up needs a histogram of bounded size, not a global sort.
+
+Edge cases: a null text is empty and has no span; repeated rows are answered
+each; an empty table gives an empty result; positions count code points.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.llm.common import text_or_empty, write_table
+
+BASE_KINDS = ("assign", "access", "hex")
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+ALPHABETS = {
+    "hex": "0123456789abcdef",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+FDR = 0.05
+P_FLOOR = 30.0          # p-values below 10^-30 count as that
+
+
+def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
+    """array<struct<kind, start, end, value>> of the pattern's matches."""
+    spans = F.aggregate(
+        F.arrays_zip(F.transform(F.split(text, pattern, -1), F.char_length).alias("gap"),
+                     F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("spans")),
+        lambda acc, x: F.struct(
+            (acc["at"] + x["gap"] + F.coalesce(F.char_length(x["value"]), F.lit(0))).alias("at"),
+            F.when(x["value"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(F.struct(
+                F.lit(kind).alias("kind"), (acc["at"] + x["gap"]).alias("start"),
+                (acc["at"] + x["gap"] + F.char_length(x["value"])).alias("end"), x["value"].alias("value"))))).alias("spans")),
+        lambda acc: acc["spans"])
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    return F.when(F.rlike(text, F.lit(pattern)), F.filter(spans, lambda s: keep(s["value"]))).otherwise(none)
+
+
+def base_spans(text: Column) -> Column:
+    return F.concat(
+        _spans(text, ASSIGN, "assign", lambda v: F.char_length(F.regexp_extract(v, ASSIGN, 1)) >= 8),
+        _spans(text, ACCESS, "access", lambda v: F.char_length(v) >= 16),
+        _spans(text, HEX, "hex", lambda v: F.char_length(v) >= 32))
+
+
+def _encoding(v: Column) -> Column:
+    has = lambda cls: v.rlike(f"[{cls}]")
+    return F.when(v.rlike("^([0-9a-f]+|[0-9A-F]+)$") & has("0-9") & has("A-Fa-f"), "hex") \
+        .when(v.rlike("^[A-Z2-7]+=*$") & has("2-7") & has("A-Z"), "base32") \
+        .when(has("0-9") & has("A-Z") & has("a-z"), "base64")
+
+
+def _tail(z: Column) -> Column:
+    """Upper tail of the normal law (logistic approximation)."""
+    return 1 / (1 + F.exp(F.least(F.greatest(1.5976 * z + 0.07056 * z * z * z, F.lit(-700.0)), F.lit(700.0))))
+
+
+def randomness(cands: DataFrame) -> DataFrame:
+    """Rows with ``value`` and ``encoding`` get ``p``: how well the string
+    agrees with random characters of its alphabet."""
+    alphabet = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])
+    core = F.regexp_replace("value", "=+$", "")
+    core = F.when(F.col("encoding") == "hex", F.lower(core)) \
+        .when(F.col("encoding") == "base64", F.translate(core, "-_", "+/")).otherwise(core)
+    c = cands.withColumns({"core_": core, "abc_": alphabet[F.col("encoding")]})
+    c = c.withColumns({"n_": F.length("core_").cast("double"), "k_": F.length("abc_").cast("double"),
+                       "chars_": F.split("core_", "")})
+    c = c.withColumn("x_", F.expr("transform(chars_, ch -> double(instr(abc_, ch)) - 1)"))
+    c = c.withColumns({
+        "sq_": F.expr("aggregate(array_distinct(chars_), double(0), (a, ch) -> a + pow(n_ - length(replace(core_, ch, '')), 2))"),
+        "hi_": F.expr("transform(x_, x -> int(x >= k_ / 2))"),
+        "dev_": F.expr("transform(x_, x -> x - aggregate(x_, double(0), (a, y) -> a + y) / n_)")})
+    c = c.withColumns({
+        "n1_": F.expr("aggregate(hi_, double(0), (a, b) -> a + b)"),
+        "runs_": F.expr("1 + aggregate(zip_with(hi_, slice(hi_, 2, size(hi_)), (a, b) -> if(b IS NOT NULL AND a <> b, 1, 0)), double(0), (a, b) -> a + b)"),
+        "cov_": F.expr("aggregate(zip_with(dev_, slice(dev_, 2, size(dev_)), (a, b) -> coalesce(a * b, double(0))), double(0), (a, b) -> a + b)"),
+        "var_": F.expr("aggregate(dev_, double(0), (a, b) -> a + b * b)")})
+    df = F.col("k_") - 1
+    chi = F.col("k_") / F.col("n_") * F.col("sq_") - F.col("n_")
+    z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    mean = 2 * F.col("n1_") * (F.col("n_") - F.col("n1_")) / F.col("n_") + 1
+    spread = (mean - 1) * (mean - 2) / (F.col("n_") - 1)
+    z_runs = F.when(spread > 0, F.abs(F.col("runs_") - mean) / F.sqrt(spread)).otherwise(F.lit(9.0))
+    z_serial = F.when(F.col("var_") > 0, F.abs(F.col("cov_") / F.col("var_")) * F.sqrt("n_")).otherwise(F.lit(9.0))
+    p = F.least(F.lit(1.0), 3 * F.least(_tail(z_chi), 2 * _tail(z_runs), 2 * _tail(z_serial)))
+    return c.withColumn("p", p).drop("core_", "abc_", "n_", "k_", "chars_", "x_", "sq_", "hi_", "dev_", "n1_",
+                                     "runs_", "cov_", "var_")
+
+
+def rejected_below(cands: DataFrame, fdr: float = FDR) -> DataFrame:
+    """(encoding, band, cut): Benjamini-Hochberg per class over a histogram of
+    p in hundredths of a decade; bins from ``cut`` up are rejected."""
+    bins = cands.groupBy("encoding", "band", "bin").agg(F.count(F.lit(1)).alias("n"))
+    up = Window.partitionBy("encoding", "band").orderBy(F.desc("bin"))
+    whole = Window.partitionBy("encoding", "band")
+    steps = bins.withColumns({"rank": F.sum("n").over(up), "m": F.sum("n").over(whole)})
+    ok = F.pow(F.lit(10.0), -F.col("bin") / 100) <= fdr * F.col("rank") / F.col("m")
+    return steps.groupBy("encoding", "band").agg(F.min(F.when(ok, F.col("bin"))).alias("cut"))
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fdr: float = FDR) -> DataFrame:
+    """(doc_id, spans): every row with its spans (kind, start, end, value), the
+    base kinds by start, then those of kind ``random`` by start."""
+    body = F.col("text_")
+    read = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"),
+                       text_or_empty(text).alias("text_"))
+    found = write_table(read.select("rid", "doc_id", base_spans(body).alias("base"), F.filter(
+        _spans(body, TOKEN, "random", lambda v: _encoding(v).isNotNull()), lambda s: s["value"].isNotNull()).alias("more")),
+        "secrets-found")
+    c = found.where(F.size("more") > 0).select("rid", F.explode("more").alias("s")) \
+        .select("rid", "s", F.col("s.value").alias("value"), _encoding(F.col("s.value")).alias("encoding"))
+    band = F.least(F.floor(F.log2(F.length("value") / 20)), F.lit(6)).cast("int")
+    c = randomness(c.withColumn("band", band)).withColumn(
+        "bin", F.floor(F.least(-100 * F.log10(F.greatest("p", F.lit(10 ** -P_FLOOR))), F.lit(100 * P_FLOOR))).cast("int"))
+    c = write_table(c.select("rid", "s", "encoding", "band", "p", "bin"), "secrets-tested")
+    cuts = F.broadcast(rejected_below(c, fdr))  # a row for each encoding and band: 21 at most
+    stay = c.join(cuts, ["encoding", "band"]).where("cut IS NULL OR bin < cut")
+    stay = stay.groupBy("rid").agg(F.array_sort(F.collect_list("s"), lambda a, b: a["start"] - b["start"]).alias("random"))
+    by_start = F.array_sort("base", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
+                            .otherwise(_order(a["kind"]) - _order(b["kind"])))
+    return found.join(stay, "rid", "left").select(
+        "doc_id", F.concat(by_start, F.coalesce("random", F.slice("base", 1, 0))).alias("spans"))
+
+
+def _order(kind: Column) -> Column:
+    return F.array_position(F.lit(list(BASE_KINDS)), kind).cast("int")
