@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, licenses, mixing, pii, secrets
+from tessera.llm import exact_dedup, licenses, mixing, pii, secret_scan, simhash
 from tessera.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,12 +76,18 @@ def op2(spark, sf_dir):
 
 @register("op3_secrets")
 def op3(spark, sf_dir):
-    found = secrets.find_secrets(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", *_counts(secrets.BASE_KINDS),
-                        F.sha2(_listed(secrets.BASE_KINDS), 256).alias("base_sha256"), _listed(()).alias("spans"))
+    found = secret_scan.find_secrets(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *_counts(secret_scan.BASE_KINDS),
+                        F.sha2(_listed(secret_scan.BASE_KINDS), 256).alias("base_sha256"), _listed(()).alias("spans"))
 
 
 @register("op5_licenses")
 def op5(spark, sf_dir):
     found = licenses.scan_licenses(read(spark, sf_dir, "documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+@register("op4_simhash")
+def op4(spark, sf_dir):
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
