@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, licenses, mixing, pii, secret_scan, simhash
+from tessera.llm import exact_dedup, langid, licenses, mixing, packing, pii, secret_scan, simhash
 from tessera.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,13 @@ def op5(spark, sf_dir):
 def op4(spark, sf_dir):
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op6_language_id")
+def op6(spark, sf_dir):
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+@register("op9_packing")
+def op9(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"))
