@@ -175,7 +175,7 @@ def _predict(model: dict, schema: pa.Schema):
                 table[:] = [np.concatenate(table)]
         best, score = np.full(len(texts), len(langs) - 1), np.zeros(len(texts))
         for i, ws in enumerate(split):
-            if ws and len(langs) > 1:
+            if len(langs) > 1 and any(c.isalpha() for w in ws for c in w):
                 total = table[0][np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
                 k = int(np.argmax(total))
                 best[i], score[i] = k, 1.0 / np.exp(np.maximum(total - total[k], -700)).sum()
