@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, langid, licenses, mixing, packing, pii, secret_scan, simhash, topk
+from tessera.llm import (exact_dedup, html_text, langid, licenses, mixing, packing, pii, secret_scan, simhash,
+                         topk)
 from tessera.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +113,8 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""")
 def op8(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@register("op10_html_text")
+def op10(spark, sf_dir):
+    return html_text.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
