@@ -22,6 +22,7 @@ gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,7 @@ MAX_TOKENS, END_ID = 4096, 1
 SHARD_PIECES = 1 << 14
 CACHE_WORDS = 1 << 21
 WEIGHTS = (1.0, 1e-3, 1e-3)
+WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def default_tokenizer() -> str:
@@ -82,8 +84,16 @@ def encode_words(words: list[str], path: str) -> list[bytes]:
     return known
 
 
+def words_of(text: str) -> list[str]:
+    """Words between Unicode white space. Python's split() also cuts at the four
+    ASCII separators, which the tokenizer doesn't take for white space."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [w for w in WHITE_SPACE.split(text) if w]
+    return text.split()
+
+
 def encode_text(text: str, path: str) -> bytes:
-    words = text.split()
+    words = words_of(text)
     known = encode_words(words, path)
     return b"".join([known[w] for w in words])
 
