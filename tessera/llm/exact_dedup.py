@@ -163,6 +163,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     groups = stays.join(texts, ["fp", "sha"]).select(
         "fp", "sha", "k", F.when(F.col("texts") == 1, F.col("group_size"))
         .otherwise(F.raise_error(F.lit("two texts share one SHA-256"))).alias("group_size"))
+    # as a table, so that the join's row side has a shuffle of its own that a hot group can be split in
+    groups = broadcast_if_few(write_table(groups, "dedup-groups"))
     dup = suspects.join(groups, ["fp", "sha"]).select(
         "doc_id", F.col("k.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
         (F.col("rid") == -F.col("k.r")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
