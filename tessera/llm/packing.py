@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import worker_state, write_table
 
 MAX_TOKENS, END_ID = 4096, 1
-SHARD_PIECES = 1 << 14
+SHARD_PIECES = 1 << 12
 CACHE_WORDS = 1 << 21
 WEIGHTS = (1.0, 1e-3, 1e-3)
 WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
