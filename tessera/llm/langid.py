@@ -7,8 +7,8 @@ pieces (forward algorithm), and the expected piece counts come from the
 forward and backward sums. A text scores the sum of its words' log
 probabilities; the languages' scores give the posterior.
 
-Learning takes LEARN_DOCS documents per language at most (those with the
-smallest hash among the rows allowed), whole texts; scoring reads every whole
+Learning takes about LEARN_DOCS documents per language (all, if fewer; else
+the lowest share of the rows' hashes), whole texts; scoring reads every whole
 text. Words are runs of letters, lower-cased, behind a word-start mark;
 letters outside the vocabulary cost one floor piece each; words over LONG
 letters are scored in parts of LONG letters.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import worker_state
@@ -199,18 +199,17 @@ def _predict(model: dict, schema: pa.Schema):
 
 
 def sample_words(docs: DataFrame, id_col: str, text: str, lang: str, limit: int = LEARN_DOCS) -> dict[str, dict[str, int]]:
-    """Word counts per language of the `limit` rows with the smallest hash.
-    Only (lang, hash) is ranked; a map task sends `limit` rows a language."""
-    key = F.xxhash64(F.col(id_col), F.lit(11))
+    """Word counts per language of about `limit` rows: those whose hash is in
+    the lowest limit / rows of all hashes (copies of a row count once). Only
+    counts per language are needed to know the share, no ranking."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()) \
-        .select(F.col(lang).cast("string").alias("lang"), key.alias("h"), F.col(text).cast("string").alias("text"))
-    w = Window.partitionBy("lang").orderBy("h")
-    cut = rows.select("lang", "h").withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit) \
-        .groupBy("lang").agg(F.max("h").alias("top"))
-    tops = {r["lang"]: r["top"] for r in cut.collect()}      # a row per language
-    if not tops:
+        .select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.lit(11)).alias("h"),
+                F.col(text).cast("string").alias("text"))
+    n = dict(rows.groupBy("lang").count().collect())         # a row per language
+    if not n:
         return {}
-    top = F.create_map(*[F.lit(x) for kv in tops.items() for x in kv])
+    top = {k: int(min(1.0, limit / v) * (1 << 64)) - (1 << 63) for k, v in n.items()}
+    tops = F.create_map(*[F.lit(x) for k, v in top.items() for x in (k, min(v, (1 << 63) - 1))])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         n: dict[str, int] = {}
@@ -219,10 +218,10 @@ def sample_words(docs: DataFrame, id_col: str, text: str, lang: str, limit: int
                 n[word] = n.get(word, 0) + 1
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "word": list(n), "n": list(n.values())})
 
-    taken = rows.where(F.col("h") <= top[F.col("lang")]).withColumn("part", F.pmod("h", F.lit(8)))
-    counted = taken.groupBy("lang", "part").applyInPandas(count, "lang string, word string, n long") \
-        .groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    out: dict[str, dict[str, int]] = {k: {} for k in tops}
+    taken = rows.where(F.col("h") <= tops[F.col("lang")]).dropDuplicates(["lang", "h"])
+    counted = taken.withColumn("part", F.pmod("h", F.lit(32))).groupBy("lang", "part") \
+        .applyInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    out: dict[str, dict[str, int]] = {k: {} for k in n}
     for r in counted.collect():                              # bounded by the sample
         out[r["lang"]][r["word"]] = r["n"]
     return {k: v for k, v in out.items() if v}
