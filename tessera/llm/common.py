@@ -6,6 +6,7 @@ from __future__ import annotations
 import sys
 import types
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1 << 20
 
 __all__ = ["BROADCAST_ROWS", "WORD", "ascii_lower", "broadcast_if_few", "pack_row",
-           "text_or_empty", "unpack_row", "worker_state", "write_table"]
+           "text_or_empty", "texts_in", "worker_state", "write_table"]
 
 
 def text_or_empty(col: str = "text") -> Column:
@@ -47,16 +48,23 @@ def pack_row(docs: DataFrame, **derived: Column) -> DataFrame:
     return docs.select(row, *[c.alias(n) for n, c in derived.items()])
 
 
-def unpack_row(packed: DataFrame) -> DataFrame:
-    return packed.select("row_.*")
-
-
-def worker_state() -> dict:
+def worker_state(owner: str) -> dict:
     """A dict that lives as long as the Python worker, across tasks: caches
     only, never results. Package functions are pickled by value, so module
-    globals are new in each task."""
+    globals are new in each task. One operator's at a time: the caches of the
+    one that ran before are let go."""
     mod = sys.modules.get("tessera_worker_state")
     if mod is None:
         mod = sys.modules["tessera_worker_state"] = types.ModuleType("tessera_worker_state")
         mod.state = {}
-    return mod.state
+    if owner not in mod.state:
+        mod.state.clear()
+        mod.state[owner] = {}
+    return mod.state[owner]
+
+
+def texts_in(batch, field: str | None) -> pa.Array:
+    """The texts of an Arrow batch: its last column, or a field of that column
+    where it is a packed row (so that a text is sent once)."""
+    last = batch.column(batch.num_columns - 1)
+    return (last.field(field) if field else last).cast(pa.string())

@@ -348,7 +348,7 @@ def choose(blocks: list[Block], p: np.ndarray) -> list[bool]:
 
 
 def texts(model: dict, pages: list[str | None]) -> list[str]:
-    words = worker_state().setdefault("html_words", {})
+    words = worker_state("html").setdefault("words", {})
     parsed = [blocks_of(p or "") for p in pages]
     out = [""] * len(pages)
     order = sorted((i for i in range(len(pages)) if parsed[i]), key=lambda i: len(parsed[i]))

@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import worker_state
+from tessera.llm.common import pack_row, texts_in, worker_state
 
 LEARN_DOCS = 300
 EM_ROUNDS = 4
 LONG, PIECE = 48, 16          # letters scored at once; longest piece
 FLOOR = 1e-7                  # a letter outside the vocabulary; additive smoothing
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 18
 START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(1_000_003)
@@ -160,7 +160,7 @@ def score_words(words: list[str], model: dict) -> np.ndarray:
     return out
 
 
-def _predict(model: dict, schema: pa.Schema):
+def _predict(model: dict, schema: pa.Schema, field: str | None):
     langs = np.array([*model["langs"], "und"], object)
 
     def batch(texts: list[str | None], known: dict, table: list) -> tuple[np.ndarray, np.ndarray]:
@@ -182,18 +182,18 @@ def _predict(model: dict, schema: pa.Schema):
         return best, score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = worker_state()
+        state = worker_state("langid")
         for b in batches:
-            texts = b.column(b.num_columns - 1)
+            texts = texts_in(b, field)
             best, score = [], []
             for at in range(0, len(texts), 128):
-                if state.get("langid") != model["mark"] or len(state["langid_words"]) > CACHE_WORDS:
-                    state.update(langid=model["mark"], langid_words={}, langid_table=[])
-                k, s = batch(texts.slice(at, 128).to_pylist(), state["langid_words"], state["langid_table"])
+                if state.get("mark") != model["mark"] or len(state["words"]) > CACHE_WORDS:
+                    state.update(mark=model["mark"], words={}, table=[])
+                k, s = batch(texts.slice(at, 128).to_pylist(), state["words"], state["table"])
                 best.append(k)
                 score.append(s)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(langs[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score))],
+                [*(b.columns if field else b.columns[:-1]), pa.array(langs[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score))],
                 schema=schema)
     return run
 
@@ -216,7 +216,7 @@ def sample_words(docs: DataFrame, id_col: str, text: str, lang: str, limit: int
         for t in pdf["text"]:
             for word in words_of(t):
                 n[word] = n.get(word, 0) + 1
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "word": list(n), "n": list(n.values())})
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(n), "word": list(n), "n": list(n.values())}, dtype=object)
 
     taken = rows.where(F.col("h") <= tops[F.col("lang")]).dropDuplicates(["lang", "h"])
     counted = taken.withColumn("part", F.pmod("h", F.lit(32))).groupBy("lang", "part") \
@@ -239,12 +239,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     return model
 
 
-def predict(rows: DataFrame, model: dict) -> DataFrame:
-    """The rows with their last column, a text, replaced by lang_pred and score."""
+def predict(rows: DataFrame, model: dict, field: str | None = None) -> DataFrame:
+    """The rows with their last column, a text, replaced by lang_pred and score;
+    with ``field``, the last column is a packed row that stays, and the text is
+    that field of it."""
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
-    out = T.StructType(rows.schema.fields[:-1]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
-    return rows.mapInArrow(_predict(model, to_arrow_schema(out)), out)
+    kept = [*(rows.schema.fields if field else rows.schema.fields[:-1])]
+    out = T.StructType(kept).add("lang_pred", T.StringType()).add("score", T.DoubleType())
+    return rows.mapInArrow(_predict(model, to_arrow_schema(out), field), out)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **fitting) -> DataFrame:
@@ -256,7 +259,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **fitt
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **fitting) -> DataFrame:
     """The rows whose language is recognised, with all their columns."""
-    from tessera.llm.common import pack_row
     model = fit(docs, id_col, text, **fitting)
-    packed = pack_row(docs, text=F.col(text).cast("string"))
-    return predict(packed, model).where("lang_pred <> 'und'").select("row_.*")
+    return predict(pack_row(docs), model, field=text).where("lang_pred <> 'und'").select("row_.*")

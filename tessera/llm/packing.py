@@ -36,7 +36,8 @@ from tessera.llm.common import worker_state, write_table
 
 MAX_TOKENS, END_ID = 4096, 1
 SHARD_PIECES = 1 << 12
-CACHE_WORDS = 1 << 21
+CACHE_WORDS = 1 << 19
+MARKS = ".,;:!?|"
 WEIGHTS = (1.0, 1e-3, 1e-3)
 WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -46,41 +47,47 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _load(path: str):
-    state = worker_state()
-    if ("tokenizer", path) not in state:
+def _load(path: str) -> dict:
+    state = worker_state("packing")
+    if state.get("path") != path:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        state["tokenizer", path] = Tokenizer.from_file(path)
-        state["words", path] = {}
-    return state["tokenizer", path], state["words", path]
-
-
-def encode_words(words: list[str], path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each word, from the cache or the
-    tokenizer."""
-    tokenizer, known = _load(path)
-    new = [w for w in dict.fromkeys(words) if w not in known]
-    if new:
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        stems: dict[str, None] = {}
-        plain = []
-        for w in new:
-            # ASCII words share the ids of their lower-case stem and closing mark
-            if w.isascii() and len(w) > 2 and (s := w.lower()) and s.isalnum() is False and s[:-1].isalpha() and s[-1] in ".,;:!?|":
-                plain.append((w, s[:-1], s[-1]))
-                stems[s[:-1]] = stems[s[-1]] = None
-            else:
-                key = w.lower() if w.isascii() and w.isalpha() else w
-                plain.append((w, key, ""))
-                stems[key] = None
-        ask = [s for s in stems if s not in known]
-        for s, e in zip(ask, tokenizer.encode_batch_fast(ask, add_special_tokens=False)):
-            known[s] = np.array(e.ids, "<u4").tobytes()
-        for w, a, b in plain:
-            known[w] = known[a] + known[b] if b else known[a]
+        state.update(path=path, tokenizer=Tokenizer.from_file(path), words={}, older={})
+    return state
+
+
+def encode_words(words: list[str], path: str) -> dict[str, bytes]:
+    """A dict that holds the little-endian unsigned 32-bit ids of each word,
+    from the cache or the tokenizer. The cache has two generations of
+    CACHE_WORDS words: words in use move to the younger, the older is let go."""
+    state = _load(path)
+    new = [w for w in dict.fromkeys(words) if w not in state["words"]]
+    if len(state["words"]) + len(new) > CACHE_WORDS:
+        state.update(older=state["words"], words={})
+        new = list(dict.fromkeys(words))
+    known, older = state["words"], state["older"]
+    stems: dict[str, None] = {}
+    made = []
+    for w in new:
+        if (ids := older.get(w)) is not None:
+            known[w] = ids
+        elif w.isascii() and w[-1] in MARKS and w[:-1].isalpha():
+            # an ASCII word's ids are those of its lower-case stem and closing mark
+            made.append((w, w[:-1].lower(), w[-1]))
+        else:
+            made.append((w, w.lower() if w.isascii() and w.isalpha() else w, ""))
+    for _, stem, mark in made:
+        stems[stem] = None
+        if mark:
+            stems[mark] = None
+    for s in stems:
+        if s not in known and (ids := older.get(s)) is not None:
+            known[s] = ids
+    ask = [s for s in stems if s not in known]
+    for s, e in zip(ask, state["tokenizer"].encode_batch_fast(ask, add_special_tokens=False)):
+        known[s] = np.array(e.ids, "<u4").tobytes()
+    for w, stem, mark in made:
+        known[w] = known[stem] + known[mark] if mark else known[stem]
     return known
 
 

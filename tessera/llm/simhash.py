@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, broadcast_if_few, write_table
+from tessera.llm.common import ascii_lower, broadcast_if_few, pack_row, texts_in, write_table
 from tessera.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -65,22 +65,24 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def _fingerprints(schema: pa.Schema, shingle: int):
+def _fingerprints(schema: pa.Schema, shingle: int, field: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = b.column(b.num_columns - 1)
+            text = texts_in(b, field)
             fps = np.fromiter((simhash(t.as_py(), shingle) for t in text), np.uint64, len(text))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(b.columns if field else b.columns[:-1]), pa.array(fps.view(np.int64))],
+                                             schema=schema)
     return run
 
 
-def with_fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def with_fingerprints(rows: DataFrame, shingle: int = SHINGLE, field: str | None = None) -> DataFrame:
     """The rows with their last column, a text, replaced by ``fp`` (the 64 bits
-    as a long)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+    as a long); with ``field``, the last column is a packed row that stays, and
+    the text is that field of it."""
     from pyspark.sql import types as T
-    kept = T.StructType(rows.schema.fields[:-1]).add("fp", T.LongType())
-    return rows.mapInArrow(_fingerprints(to_arrow_schema(kept), shingle), kept)
+    from pyspark.sql.pandas.types import to_arrow_schema
+    kept = T.StructType([*(rows.schema.fields if field else rows.schema.fields[:-1])]).add("fp", T.LongType())
+    return rows.mapInArrow(_fingerprints(to_arrow_schema(kept), shingle, field), kept)
 
 
 # ---- the tree -------------------------------------------------------------
@@ -248,9 +250,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """One row of each component stays, with all its columns: the one with the
     smallest id (nulls last; then the first read). Row numbers and fingerprints
     are written with the rows, so the fingerprints are computed once."""
-    from tessera.llm.common import pack_row
-    rows = pack_row(docs, rid=F.monotonically_increasing_id(), doc_id=F.col(id_col), text=F.col(text).cast("string"))
-    table = write_table(with_fingerprints(rows, shingle), "simhash-rows")
+    rows = pack_row(docs, rid=F.monotonically_increasing_id(), doc_id=F.col(id_col)).select("rid", "doc_id", "row_")
+    table = write_table(with_fingerprints(rows, shingle, field=text), "simhash-rows")
     prints = table.select("rid", "doc_id", "fp")
     classes = write_table(near_classes(prints, radius).select("fp", "root"), "simhash-ids")
     per = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("k"))
