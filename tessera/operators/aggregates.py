@@ -38,22 +38,13 @@ def salted_agg(df: DataFrame, keys: list[str], aggs: dict, salts: int = 16) -> D
     return partial.groupBy(*keys).agg(*second)
 
 
-def log_stats(lines: DataFrame, col: str, pattern: str) -> DataFrame:
-    """Parse access-log lines; count and bytes per (ip, user, query).
-
-    Lines whose user is "-" are counted under a null key; lines that do not
-    match count once with 0 bytes, also under the null key.
-    """
-    ok = F.col(col).rlike(pattern)
-    ip = F.regexp_extract(col, pattern, 1)
-    user = F.regexp_extract(col, pattern, 3)
-    query = F.regexp_extract(col, pattern, 5)
-    size = F.regexp_extract(col, pattern, 7)
-    keep = ok & (user != '"-"')
-    parsed = lines.select(
-        F.when(keep, ip).alias("ip"), F.when(keep, user).alias("user"), F.when(keep, query).alias("query"),
-        F.when(ok & (size != "-"), size.cast("bigint")).otherwise(F.lit(0)).alias("bytes"))
-    return parsed.groupBy("ip", "user", "query").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+def log_stats(lines: DataFrame, col: str, by: tuple[str, ...] = ("client", "account", "path"),
+              size: str = "size") -> DataFrame:
+    """Lines of space-separated key=value fields: count and summed size per
+    client, account and path. A field that is missing or not a number is null."""
+    fields = lines.select(F.str_to_map(F.col(col), F.lit(" "), F.lit("=")).alias("f"))
+    parsed = fields.select(*[F.col("f")[k].alias(k) for k in by], F.expr(f"try_cast(f['{size}'] AS BIGINT)").alias("_size"))
+    return parsed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("bytes"))
 
 
 def word_count(df: DataFrame, col: str, sep: str = " ") -> DataFrame:

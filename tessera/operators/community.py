@@ -202,16 +202,19 @@ def _parity(node: Column, rnd: int) -> Column:
     return F.pmod(F.xxhash64(node) + F.lit(rnd), F.lit(2)) == 0
 
 
-def louvain(edges: DataFrame, max_iterations: int = 50, epsilon: float = 1e-4,
+def louvain(edges: DataFrame, max_iterations: int | None = None, epsilon: float = 1e-4,
             group_cols=(), init: DataFrame | None = None, checkpoint_every: int = 1,
-            stats: list | None = None) -> DataFrame:
+            stats: list | None = None, min_rise: float = 1e-12) -> DataFrame:
     """Level-1 Louvain local moving in bulk rounds. Returns (g, node, community).
 
     Each round one half of the nodes (by hash parity, alternating) takes its
     best move, so neighbours cannot swap back and forth; lone nodes join
     other lone nodes only downwards in id. A round is kept only if it raises
     the (summed) modularity, so the loop cannot cycle; it ends after two
-    rounds in a row without a kept move, or at max_iterations. The driver
+    rounds in a row (one of each half) that raise it by no more than
+    ``min_rise``: the convergence threshold, on modularity, whose scale is the
+    same for every graph. With ``max_iterations`` it raises if that many rounds
+    don't get there. The driver
     sees one count and one modularity value per round. The assignment table
     (nodes-sized) is written as a reliable checkpoint after each round;
     without the cut each round's plan would nest the previous one.
@@ -249,7 +252,9 @@ def louvain(edges: DataFrame, max_iterations: int = 50, epsilon: float = 1e-4,
 
     per, tot, cur = state(comm, 0)
     quiet = 0
-    for rnd in range(max_iterations):
+    rnd = -1
+    while True:
+        rnd += 1
         if rnd > 0 and cur is None:
             cur = info(per, tot, rnd)
         n_moves = sum(n for _, n in cur.values())
@@ -260,7 +265,7 @@ def louvain(edges: DataFrame, max_iterations: int = 50, epsilon: float = 1e-4,
             nxt = iterate.write_table(comm.join(moves, [*g, "node"], "left").select(
                 *g, "node", F.coalesce("new", "community").alias("community")), "louvain-assign")
             per_n, tot_n, new = state(nxt, rnd + 1)
-            better = [k for k in new if new[k][0] > cur.get(k, (float("-inf"), 0))[0] + 1e-12]
+            better = [k for k in new if new[k][0] > cur.get(k, (float("-inf"), 0))[0] + min_rise]
             accepted = len(better)
             if accepted == len(new):
                 per.unpersist()
@@ -286,6 +291,8 @@ def louvain(edges: DataFrame, max_iterations: int = 50, epsilon: float = 1e-4,
         quiet = 0 if accepted else quiet + 1
         if quiet >= 2:
             break
+        if max_iterations is not None and rnd + 1 >= max_iterations:
+            raise RuntimeError(f"louvain: still improving after {max_iterations} rounds")
     per.unpersist()
     tot.unpersist()
     adj.unpersist()

@@ -45,23 +45,35 @@ def expanding(df: DataFrame, by: list[str], order: list, value: str, min_periods
 
 def ewm_mean(df: DataFrame, by: list[str], order: list, value: str, alpha: float,
              out: str = "ewm") -> DataFrame:
-    """Exponentially weighted mean with pandas' adjust=True weights (1-alpha)^age.
-
-    Weights older than K rows, with (1-alpha)^K below 2^-64, are under
-    double precision next to the newest weight 1 and are left out, so the
-    frame is bounded (K + 1 rows) and each row's sum is exact to rounding.
+    """Exponentially weighted mean with pandas' adjust=True weights (1-alpha)^age
+    over the known values, full history, in linear work.
+
+    Known values are cut into blocks in which the weights span 300 binary
+    places. Inside a block the weighted sum is a running sum of x / r^p, scaled
+    back by r^p (r = 1-alpha, p the place in the block). A block starts from
+    the sums at the ends of the eight blocks before it: what lies further back
+    is scaled by less than 2^-2400, below any ratio of two doubles. The sum of
+    the weights has a closed form.
     """
     r = 1.0 - alpha
-    k = 0 if r <= 0 else int(math.ceil(64 * math.log(2) / -math.log(r)))
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-k, 0)
-    vals = F.collect_list(F.col(value).cast("double")).over(w)
-    # newest value is last; weight of position p in a list of n is r^(n-1-p)
-    n = F.size(vals)
-    num = F.aggregate(F.transform(vals, lambda x, i: x * F.pow(F.lit(r), n - 1 - i)), F.lit(0.0),
-                      lambda a, b: a + b)
-    den = F.aggregate(F.transform(vals, lambda x, i: F.pow(F.lit(r), n - 1 - i)), F.lit(0.0),
-                      lambda a, b: a + b)
-    return df.withColumn(out, num / den)
+    size = 1 if r <= 0 else max(1, int(300 * math.log(2) / -math.log(r)))
+    back = 8
+    run = lambda *keys: Window.partitionBy(*by, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    power = lambda e: F.pow(F.lit(r), e)
+    d = df.withColumn("_n", F.count(value).over(run()))
+    d = d.withColumns({"_b": F.floor((F.col("_n") - 1) / size), "_p": F.pmod(F.col("_n") - 1, F.lit(size))})
+    d = d.withColumn("_own", power(F.col("_p")) * F.sum(F.col(value).cast("double") / power(F.col("_p"))).over(run("_b")))
+    ends = d.groupBy(*by, "_b").agg(F.max_by("_own", "_n").alias("_end"))
+    chain = Window.partitionBy(*by).orderBy("_b")
+    before = sum((F.coalesce(F.lag("_end", k + 1).over(chain), F.lit(0.0)) * power(F.lit(float(size * k)))
+                  for k in range(back)), F.lit(0.0))
+    ends = ends.select(*[F.col(c).alias(f"_{c}_end") for c in by], F.col("_b").alias("_block"), before.alias("_before"))
+    same = F.col("_b") == F.col("_block")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}_end"))
+    weight = F.col("_n").cast("double") if r >= 1 else (1 - power(F.col("_n"))) / (1 - r)
+    out_col = (F.col("_own") + power(F.col("_p") + 1) * F.col("_before")) / weight
+    return d.join(ends, same, "left").select(*df.columns, F.when(F.col("_n") > 0, out_col).alias(out))
 
 
 def fill_and_interpolate(df: DataFrame, by: list[str], order: list, value: str) -> DataFrame:

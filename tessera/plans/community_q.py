@@ -22,6 +22,7 @@ from tessera.session import scratch_path
 from tessera.sources.tables import read
 
 EPSILON = 1e-7
+MIN_RISE = 1e-3   # of modularity: a pair of rounds that raises it less ends the loop
 HOPS = 2
 ADDED = [(101, 115), (102, 109)]
 ADDED_WEIGHT = 0.5
@@ -70,9 +71,9 @@ ADDED_SQL = ", ".join(f"({min(a, b)}, {max(a, b)}, {ADDED_WEIGHT})" for a, b in
 ADDED_NODES = ", ".join(str(x) for e in ADDED for x in e)
 
 GCTE = CTE + f""",
-g AS (SELECT i, j, arg_min(norm_score, window_id) AS weight FROM edges GROUP BY i, j),
-gnodes AS (SELECT i AS node FROM g UNION SELECT j FROM g),
-bc AS (SELECT n.node, min(n.node) OVER (PARTITION BY p.p_brand) AS community
+g AS MATERIALIZED (SELECT i, j, arg_min(norm_score, window_id) AS weight FROM edges GROUP BY i, j),
+gnodes AS MATERIALIZED (SELECT i AS node FROM g UNION SELECT j FROM g),
+bc AS MATERIALIZED (SELECT n.node, min(n.node) OVER (PARTITION BY p.p_brand) AS community
        FROM gnodes n JOIN part p ON p.p_partkey = n.node),
 adj AS (SELECT i AS src, j AS dst, CAST(weight AS DOUBLE) AS w FROM g
         UNION ALL SELECT j, i, CAST(weight AS DOUBLE) FROM g),
@@ -98,16 +99,16 @@ votes AS (SELECT node, community, count(*) AS votes FROM bctx GROUP BY ALL),
 vr AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY votes DESC, community ASC) AS rn,
               sum(votes) OVER (PARTITION BY node) AS n_partitions FROM votes),
 added AS (SELECT * FROM (VALUES {ADDED_SQL}) t(i, j, weight)),
-g2 AS (SELECT i, j, CAST(weight AS DOUBLE) AS weight FROM g
+g2 AS MATERIALIZED (SELECT i, j, CAST(weight AS DOUBLE) AS weight FROM g
        WHERE (i, j) NOT IN (SELECT (i, j) FROM added)
        UNION ALL SELECT CAST(i AS BIGINT), CAST(j AS BIGINT), CAST(weight AS DOUBLE) FROM added),
-adj2 AS (SELECT i AS src, j AS dst FROM g2 UNION ALL SELECT j, i FROM g2),
+adj2 AS MATERIALIZED (SELECT i AS src, j AS dst FROM g2 UNION ALL SELECT j, i FROM g2),
 aff AS (SELECT DISTINCT e.node, c.community FROM (SELECT unnest([{ADDED_NODES}]) AS node) e
         LEFT JOIN bc c ON c.node = e.node),
-r0 AS (SELECT node FROM bc WHERE community IN (SELECT community FROM aff WHERE community IS NOT NULL)),
-r1 AS (SELECT node FROM r0 UNION SELECT dst FROM adj2 WHERE src IN (SELECT node FROM r0)),
-r2 AS (SELECT node FROM r1 UNION SELECT dst FROM adj2 WHERE src IN (SELECT node FROM r1)),
-sub AS (SELECT * FROM g2 WHERE i IN (SELECT node FROM r2) AND j IN (SELECT node FROM r2))"""
+r0 AS MATERIALIZED (SELECT node FROM bc WHERE community IN (SELECT community FROM aff WHERE community IS NOT NULL)),
+r1 AS MATERIALIZED (SELECT node FROM r0 UNION SELECT dst FROM adj2 JOIN r0 ON node = src),
+r2 AS MATERIALIZED (SELECT node FROM r1 UNION SELECT dst FROM adj2 JOIN r1 ON node = src),
+sub AS (SELECT g2.* FROM g2 JOIN r2 a ON a.node = g2.i JOIN r2 b ON b.node = g2.j)"""
 
 
 def gsql(body: str) -> str:
@@ -180,7 +181,7 @@ def q_best_move(spark, sf_dir):
 
 @register("louvain_local_moving")
 def q_louvain(spark, sf_dir):
-    return C.louvain(graph(spark, sf_dir), max_iterations=50, epsilon=EPSILON)
+    return C.louvain(graph(spark, sf_dir), min_rise=MIN_RISE, epsilon=EPSILON)
 
 
 @register("community_sizes", gsql("""
@@ -226,7 +227,7 @@ def q_sink_communities(spark, sf_dir):
 
 @register("partition_local_louvain")
 def q_partition_local_louvain(spark, sf_dir):
-    return C.louvain(partition_graphs(spark, sf_dir), max_iterations=50, epsilon=EPSILON,
+    return C.louvain(partition_graphs(spark, sf_dir), min_rise=MIN_RISE, epsilon=EPSILON,
                      group_cols=["partition"])
 
 
@@ -250,7 +251,7 @@ def q_boundary_majority_vote(spark, sf_dir):
 def q_distributed_sync(spark, sf_dir):
     """Partition-local Louvain, boundary exchange, majority vote, written back."""
     pe = partitioned(spark, sf_dir)
-    local = C.louvain(partition_graphs(spark, sf_dir), max_iterations=50, epsilon=EPSILON,
+    local = C.louvain(partition_graphs(spark, sf_dir), min_rise=MIN_RISE, epsilon=EPSILON,
                       group_cols=["partition"])
     vote = C.majority_vote(C.boundary_exchange(B.boundary_nodes(pe), local))
     return C.apply_vote(local, vote)
@@ -291,7 +292,7 @@ def q_incremental_update(spark, sf_dir):
     g = graph(spark, sf_dir).withColumn("weight", F.col("weight").cast("double"))
     comm = brand_communities(spark, sf_dir, g)
     updated, _ = C.incremental_update(g, comm, added_edges(spark), None, HOPS,
-                                      max_iterations=50, epsilon=EPSILON)
+                                      min_rise=MIN_RISE, epsilon=EPSILON)
     return updated
 
 

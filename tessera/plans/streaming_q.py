@@ -171,7 +171,7 @@ def q_stream_watermark_late(spark, sf_dir):
 @register("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def q_stream_dedup(spark, sf_dir):
     ev = S.events_stream(spark, sf_dir).withWatermark("ts", "1 hour")
-    d = ev.dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")
+    d = ev.dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
     return S.run(d, "append", "dedup")
 
 

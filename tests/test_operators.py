@@ -208,3 +208,34 @@ def test_fill_and_interpolate_match_pandas(events):
     interp = g.transform(lambda s: s.reset_index(drop=True).interpolate(limit_area="inside").set_axis(s.index))
     assert ((out["interp"] - interp).abs().fillna(0) < 1e-9).all()
     assert (out["interp"].isna() == interp.isna()).all()
+
+
+def test_loops_reach_their_fixed_point(spark):
+    """Chains longer than any round limit: every node is reached, and a limit
+    that is too low raises."""
+    from tessera.operators import graph as G
+    n = 130
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n)], "src long, dst long, w double").coalesce(2)
+    got = {r.node: r.dist for r in G.shortest_paths(e, 0).collect()}
+    assert got == {i: float(i) for i in range(n + 1)}
+    assert {r.component for r in G.connected_components(e).collect()} == {0}
+    assert G.transitive_closure(e.limit(40)).count() == 40 * 41 // 2
+    with pytest.raises(RuntimeError):
+        G.shortest_paths(e, 0, max_rounds=3)
+    with pytest.raises(RuntimeError):
+        G.transitive_closure(e, max_rounds=2)
+
+
+def test_ewm_keeps_old_values(spark):
+    import math
+
+    from tessera.operators import timeseries as TS
+    x = [1e200] + [1.0] * 500 + [None, 2.0]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x)] + [(None, 0, 3.0)], "k int, t int, v double")
+    got = {(r.k, r.t): r.ewm for r in TS.ewm_mean(df, ["k"], ["t"], "v", 0.5).collect()}
+    num = den = 0.0
+    for i, v in enumerate(x):
+        if v is not None:
+            num, den = num * 0.5 + v, den * 0.5 + 1
+        assert math.isclose(got[1, i], num / den, rel_tol=1e-9)
+    assert got[None, 0] == 3.0
