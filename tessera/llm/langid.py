@@ -36,7 +36,7 @@ LEARN_DOCS = 300
 EM_ROUNDS = 4
 LONG, PIECE = 48, 16          # letters scored at once; longest piece
 FLOOR = 1e-7                  # a letter outside the vocabulary; additive smoothing
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(1_000_003)

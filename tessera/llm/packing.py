@@ -36,7 +36,7 @@ from tessera.llm.common import worker_state, write_table
 
 MAX_TOKENS, END_ID = 4096, 1
 SHARD_PIECES = 1 << 12
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 18
 MARKS = ".,;:!?|"
 WEIGHTS = (1.0, 1e-3, 1e-3)
 WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -116,11 +116,10 @@ def pieces_of(ids: bytes, limit: int, end_id: int) -> Iterator[tuple[int, int, i
 def _cut(path: str, limit: int, end_id: int, with_ids: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 256):
+            for at in range(0, b.num_rows, 256):
                 rows, out = [], []
-                for i, t in enumerate(texts[at:at + 256], at):
-                    for piece in pieces_of(encode_text(t, path), limit, end_id):
+                for i, t in enumerate(b.column(1).slice(at, 256).to_pylist(), at):
+                    for piece in pieces_of(encode_text(t or "", path), limit, end_id):
                         rows.append(i)
                         out.append(piece)
                 k, start, length, part = zip(*out)
