@@ -58,6 +58,12 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
 
 
+def _octet(part: str) -> bool:
+    """At most 255; leading zeros go first, as int() refuses thousands of digits."""
+    digits = part.lstrip("0")
+    return len(digits) < 4 and int(digits or "0") < 256
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     done, at = 0, text.find("@")
     while at >= 0:
@@ -89,7 +95,7 @@ def spans_of(text: str) -> list[tuple[str, int, int, float]]:
     if "@" in text:
         found += (("email", a, b) for a, b in emails(text))
     if "." in text:
-        found += (("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split(".")))
+        found += (("ip", *m.span()) for m in IP.finditer(text) if all(map(_octet, m[0].split("."))))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if len(digits) <= 19 and luhn(digits):
