@@ -6,7 +6,7 @@ tag path (tags, classes, ids, roles), the hashed words, and a few numbers. A
 bidirectional LSTM in numpy reads the whole sequence, so every block is labelled
 with the document's context, main text or not.
 
-It is trained here, on TRAIN_PAGES pages at most (those with the smallest hash)
+It is trained here, on about TRAIN_PAGES pages (those with the smallest hashes)
 and variants of them: other containers around the article, and boilerplate of
 many kinds put between and inside. Its labels come from `teacher`, which reads
 the path alone. At the end an exact check follows: blocks under elements that
@@ -372,15 +372,24 @@ def _extract(model: dict, schema: pa.Schema):
     return run
 
 
+def sample_pages(pages: DataFrame, html: str = "html", limit: int = TRAIN_PAGES) -> list[str]:
+    """About `limit` pages (all, if fewer): those whose hash is in the lowest
+    limit / rows of all hashes, equal pages once, in the order of their hashes.
+    Only they leave the tasks, whatever the number of tasks."""
+    share = min(1.0, limit / max(1, pages.count()))
+    top = min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1)
+    page = F.col(html).cast("string")
+    taken = pages.where(F.col(html).isNotNull()).select(F.xxhash64(page).alias("h"), page.alias("page")) \
+        .where(F.col("h") <= top).dropDuplicates(["h"])
+    return [r["page"] for r in sorted(taken.collect(), key=lambda r: r["h"])]
+
+
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"),
             train_pages: int = TRAIN_PAGES) -> DataFrame:
     """One row per page: the kept columns and ``text``."""
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
-    order = F.xxhash64(*[F.col(c) for c in keep])
-    sample = pages.where(F.col(html).isNotNull()).select(F.col(html).cast("string").alias("html"), order.alias("h_")) \
-        .orderBy("h_").limit(train_pages)
-    model = fit([r["html"] for r in sample.select("html").collect()])   # bounded by train_pages
+    model = fit(sample_pages(pages, html, train_pages))
     rows = pages.select(*keep, F.col(html).cast("string").alias("text"))
     out = T.StructType(rows.schema.fields[:-1]).add("text", T.StringType())
     return rows.mapInArrow(_extract(model, to_arrow_schema(out)), out)
