@@ -17,6 +17,10 @@ from tessera.llm import exact_dedup, langid, mixing, packing, simhash
 from tessera.llm.common import write_table
 from tessera.sources.tables import read
 
+#: Packing runs in workers beside a JVM that the earlier stages have grown, so
+#: its word cache is smaller here than alone: less memory, some more CPU time.
+PACK_CACHE_WORDS = 1 << 16
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
@@ -35,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, cache_words=PACK_CACHE_WORDS)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_copies), ("simhash_near_dedup", near_copies),

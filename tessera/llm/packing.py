@@ -56,13 +56,13 @@ def _load(path: str) -> dict:
     return state
 
 
-def encode_words(words: list[str], path: str) -> dict[str, bytes]:
+def encode_words(words: list[str], path: str, cache_words: int = CACHE_WORDS) -> dict[str, bytes]:
     """A dict that holds the little-endian unsigned 32-bit ids of each word,
     from the cache or the tokenizer. The cache has two generations of
-    CACHE_WORDS words: words in use move to the younger, the older is let go."""
+    cache_words words: words in use move to the younger, the older is let go."""
     state = _load(path)
     new = [w for w in dict.fromkeys(words) if w not in state["words"]]
-    if len(state["words"]) + len(new) > CACHE_WORDS:
+    if len(state["words"]) + len(new) > cache_words:
         state.update(older=state["words"], words={})
         new = list(dict.fromkeys(words))
     known, older = state["words"], state["older"]
@@ -99,9 +99,9 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
-def encode_text(text: str, path: str) -> bytes:
+def encode_text(text: str, path: str, cache_words: int = CACHE_WORDS) -> bytes:
     words = words_of(text)
-    known = encode_words(words, path)
+    known = encode_words(words, path, cache_words)
     return b"".join([known[w] for w in words])
 
 
@@ -113,13 +113,13 @@ def pieces_of(ids: bytes, limit: int, end_id: int) -> Iterator[tuple[int, int, i
         yield k, at // 4, len(part) // 4, part
 
 
-def _cut(path: str, limit: int, end_id: int, with_ids: bool, schema: pa.Schema):
+def _cut(path: str, limit: int, end_id: int, with_ids: bool, cache_words: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 rows, out = [], []
                 for i, t in enumerate(b.column(1).slice(at, 256).to_pylist(), at):
-                    for piece in pieces_of(encode_text(t or "", path), limit, end_id):
+                    for piece in pieces_of(encode_text(t or "", path, cache_words), limit, end_id):
                         rows.append(i)
                         out.append(piece)
                 k, start, length, part = zip(*out)
@@ -132,7 +132,8 @@ def _cut(path: str, limit: int, end_id: int, with_ids: bool, schema: pa.Schema):
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None,
-                 limit: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+                 limit: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False,
+                 cache_words: int = CACHE_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): the pieces to pack."""
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -141,7 +142,8 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", to
                         T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     if with_ids:
         out = out.add("ids", T.ArrayType(T.IntegerType()))
-    return rows.mapInArrow(_cut(tokenizer or default_tokenizer(), limit, end_id, with_ids, to_arrow_schema(out)), out)
+    return rows.mapInArrow(_cut(tokenizer or default_tokenizer(), limit, end_id, with_ids, cache_words,
+                                to_arrow_schema(out)), out)
 
 
 def best_fit(lengths: np.ndarray, limit: int = MAX_TOKENS, max_docs: int = MAX_TOKENS,
@@ -194,11 +196,12 @@ def _pack(limit: int, options: dict):
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None,
          limit: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False, shard_pieces: int = SHARD_PIECES,
-         **options) -> DataFrame:
+         cache_words: int = CACHE_WORDS, **options) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids),
     sequence_id, offset. Full pieces are sequences of their own; the others are
-    packed per shard, and only (row number, length) goes there."""
-    cut = token_pieces(docs, id_col, text, tokenizer, limit, end_id, with_ids)
+    packed per shard, and only (row number, length) goes there. ``cache_words``
+    bounds a worker's word cache and changes no result."""
+    cut = token_pieces(docs, id_col, text, tokenizer, limit, end_id, with_ids, cache_words)
     table = write_table(cut.withColumn("rid", F.monotonically_increasing_id()), "pieces")
     alone = F.col("length") == limit
     shards = -(-table.where(~alone).count() // shard_pieces) or 1

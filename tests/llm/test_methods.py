@@ -234,8 +234,9 @@ def test_tokens_equal_the_tokenizer():
     texts = ["", "The cat, THE CAT!", "it's we're 'll 2024 3.14", "ÉCOLE İstanbul ΣΑΣ K é a b\x1cc", "x" * 300, "a<|endoftext|>b",
              "日本語 テスト 😀!!", "end. (par) \"q\" a.b.c |x| ÑLL!! d'où", "　tab\tnew\nline \x85 z"]
     for x in texts:
-        got = np.frombuffer(packing.encode_text(x, path), "<u4").tolist()
-        assert got == t.encode(x, add_special_tokens=False).ids, x
+        for cache_words in (packing.CACHE_WORDS, 4):
+            got = np.frombuffer(packing.encode_text(x, path, cache_words), "<u4").tolist()
+            assert got == t.encode(x, add_special_tokens=False).ids, x
 
 
 @pytest.mark.parametrize("rule", ["residual", "dot"])
