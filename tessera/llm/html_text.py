@@ -42,8 +42,12 @@ BATCH = 64
 # HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template svg iframe textarea select object math canvas video audio title".split())
+                   "small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror "
+                   "mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd mspace semantics".split())
+RAW = frozenset("script style noscript iframe textarea title".split())
+# Left out when closed; one that is never closed counts as empty.
+SKIPPED = frozenset("template svg select object canvas video audio annotation annotation-xml".split())
+FOREIGN = frozenset(["svg", "math"])               # '/>' closes an element only here
 CLOSED_BY = {"p": frozenset("p div article section ul ol table h1 h2 h3 h4 h5 h6 blockquote pre form nav header footer "
                             "aside main figure hr address dl fieldset".split()),
              "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
@@ -71,6 +75,7 @@ class Block(NamedTuple):
     text: str
     path: tuple[tuple[str, frozenset], ...]     # (tag, words of class, id and role)
     linked: float                               # share of the text inside links
+    serials: tuple[int, ...] = ()               # of the path's elements, to tell equal ones apart
 
 
 def _marks(attributes: str) -> frozenset:
@@ -88,15 +93,23 @@ def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, with their paths."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset]] = []
+    serials: list[int] = []                         # of the stack's elements
+    closed: set[int] = set()                        # the skipped ones that had their end tag
     parts: list[str] = []
-    links = linked = 0
+    links = linked = serial = 0
+
+    def drop(i: int):
+        nonlocal links
+        links -= sum(e[0] == "a" for e in stack[i:])
+        del stack[i:], serials[i:]
 
     def close_block():
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(e for e in stack if e[0] not in INLINE), min(1.0, linked / len(text))))
+                shown = [i for i, e in enumerate(stack) if e[0] not in INLINE]
+                out.append(Block(text, tuple(stack[i] for i in shown), min(1.0, linked / len(text)), tuple(serials[i] for i in shown)))
             parts.clear()
         linked = 0
 
@@ -125,11 +138,15 @@ def blocks_of(page: str) -> list[Block]:
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    if tag in SKIPPED:
+                        closed.add(serials[i])
+                    drop(i)
                     break
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break
-            links = sum(e[0] == "a" for e in stack)
+            continue
+        attributes = m[3] or m[6] or ""
+        if attributes.endswith("/") and (tag in FOREIGN or any(e[0] in FOREIGN for e in stack)):
             continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
@@ -140,14 +157,16 @@ def blocks_of(page: str) -> list[Block]:
             continue
         for i in range(len(stack) - 1, -1, -1):
             if tag in CLOSED_BY.get(stack[i][0], ()):
-                del stack[i:]
+                drop(i)
                 break
             if stack[i][0] in SCOPE:
                 break
-        stack.append((tag, _marks(m[3] or m[6] or "")))
+        serial += 1
+        stack.append((tag, _marks(attributes)))
+        serials.append(serial)
         links += tag == "a"
     close_block()
-    return out
+    return [b for b in out if closed.isdisjoint(b.serials)] if closed else out
 
 
 def never_main(path: tuple) -> bool:

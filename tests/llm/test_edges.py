@@ -171,3 +171,13 @@ def test_html(spark):
     assert len(rows) == 6 and got[1] == got[2] == got[None] == "" and got[3] == "a & b\nc d"
     assert got[4] == "\n".join(["word word"] * 5000)
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_html_reads_on_after_icons_and_unclosed_media():
+    text = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert text("<article><p>a<svg class='i' viewBox='0 0 1 1'/></p><p>b</p></article><p>c</p>") == ["a", "b", "c"]
+    assert text("<article><svg><style/><path d='x'/><text>no</text></svg><p>b</p><svg/><p>c</p></article>") == ["b", "c"]
+    for tag in ("select", "object", "video", "audio", "canvas"):
+        assert text(f"<article><{tag}><p>a</p><p>b</p><{tag}><p>no</p></{tag}><p>c</p></article><p>d</p>") == ["a", "b", "c", "d"]
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><math/><p>b</p>") == ["so x=1 holds", "b"]
+    assert text("<video><p>no</p></video><p>b</p><script>'<p>'") == ["b"]
