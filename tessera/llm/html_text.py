@@ -7,11 +7,14 @@ bidirectional LSTM in numpy reads the whole sequence, so every block is labelled
 with the document's context, main text or not.
 
 It is trained here, on about TRAIN_PAGES pages (those with the smallest hashes)
-and variants of them: other containers around the article, and boilerplate of
-many kinds put between and inside. Its labels come from `teacher`, which reads
-the path alone. At the end an exact check follows: blocks under elements that
-are never main text (scripts, menus, forms and so on) go whatever the labeller
-says, and inside or outside an article it needs to be sure to say otherwise.
+and variants of them that keep their labels: other containers around the
+article, wrappers around the page, sections and headers with open names inside,
+and boilerplate of many kinds put between. The first labels come from `teacher`,
+which reads the path alone. Afterwards blocks under elements that are never main
+text (menus, forms, comments and so on) go whatever the labeller says, unless
+the element holds most of the article's text and so is a layout wrapper. What
+the paths call main the labeller must be sure to leave out; all other blocks,
+also those outside <article> and <main>, are its own decision.
 
 Edge cases: a null page is empty; a page without main text gives an empty
 string; broken markup (open tags, cut entities, cut comments) is read to its
@@ -25,6 +28,7 @@ import html as html_lib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -34,9 +38,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import worker_state
 
-TRAIN_PAGES, VARIANTS, STEPS = 128, 3, 60
-PATH_DIMS, WORD_DIMS, NUMBERS, HIDDEN = 48, 16, 5, 16
-SURE = 0.95
+TRAIN_PAGES, VARIANTS, STEPS = 128, 3, 150
+PATH_DIMS, WORD_DIMS, NUMBERS, HIDDEN = 96, 16, 4, 16
+SURE, PROSE = 0.95, 60
 BATCH = 64
 
 # HTML's element classes.
@@ -54,13 +58,22 @@ CLOSED_BY = {"p": frozenset("p div article section ul ol table h1 h2 h3 h4 h5 h6
              "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
              "option": frozenset(["option"])}
 SCOPE = frozenset("article section div td th li ul ol table body main blockquote".split())
-NEVER = frozenset("head nav header footer aside form button label legend input dialog menu".split())
+HARD = frozenset("head nav button label legend input dialog menu option".split())
+NEVER = HARD | frozenset("header footer aside form".split())
 NEVER_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer foot sidebar aside widget cookie "
     "cookies consent gdpr notice notices banner alert popup modal overlay newsletter subscribe signup promo promotion "
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored share sharing social related "
     "recommended comment comments commentlist disqus respond reply replies form search login pagination pager copyright "
     "complementary contentinfo dialog toolbar skip".split())
+# Words that name a topic, an anchor or a layout as often as boilerplate: the labeller decides on them.
+OPEN_WORDS = frozenset(
+    "navigation menu header foot notice notices alert promotion advert advertisement advertising sponsor share sharing "
+    "social related recommended respond reply form search login signup subscribe copyright cookies consent skip dialog "
+    "overlay hidden".split())
+COMMENTS = frozenset("comment comments commentlist disqus".split())
+TEASER = COMMENTS | frozenset("reply respond replies teaser related recommended promo sponsored widget card preview".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(["article", "main"])
 MAIN_WORDS = frozenset("article content main post entry story body text".split())
 
@@ -83,7 +96,7 @@ def _marks(attributes: str) -> frozenset:
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value = a or b or c
         if name.lower() == "hidden" or name.lower() == "style" and HIDDEN_STYLE.search(value):
-            words.add("hidden")
+            words.add("(hidden)")
         elif name.lower() in ("class", "id", "role"):
             words.update(p.lower() for p in NAME_PARTS.findall(value))
     return frozenset(words)
@@ -169,24 +182,81 @@ def blocks_of(page: str) -> list[Block]:
     return [b for b in out if closed.isdisjoint(b.serials)] if closed else out
 
 
-def never_main(path: tuple) -> bool:
-    return any(tag in NEVER or (tag not in ("html", "body", "article", "main")
-                                and not words.isdisjoint(NEVER_WORDS)) or "hidden" in words for tag, words in path)
+# What an element says about its text: nothing, ask the labeller, never main
+# unless it holds most of it, never main.
+FREE, ASK, MOSTLY, ALWAYS = range(4)
+
+
+@lru_cache(1 << 14)
+def marked(tag: str, words: frozenset) -> int:
+    if tag in HARD or "(hidden)" in words:
+        return ALWAYS
+    if tag in NEVER:
+        return MOSTLY
+    if tag in ("html", "body", "p") or tag in HEADINGS:     # their names are anchors and page-wide states
+        return FREE
+    if tag in MAIN:
+        return FREE if words.isdisjoint(TEASER) else MOSTLY
+    named = words & NEVER_WORDS
+    return MOSTLY if named - OPEN_WORDS else ASK if named or "hidden" in words else FREE
 
 
 def in_main(path: tuple) -> bool:
-    return any(tag in MAIN for tag, _ in path)
+    return any(tag in MAIN and words.isdisjoint(TEASER) for tag, words in path)
+
+
+def in_named(path: tuple) -> bool:
+    return any(tag not in ("html", "body") and not words.isdisjoint(MAIN_WORDS) and marked(tag, words) == FREE
+               for tag, words in path)
+
+
+def serials(b: Block) -> tuple:
+    return b.serials or b.path
+
+
+def judged(blocks: list[Block]) -> tuple[list[int], list[bool]]:
+    """What is marked over each block, and whether it lies in the article: in
+    <article> or <main> (no comment or teaser), else in an element named like
+    one, else anywhere. A marked element that holds most of the article's text
+    is a wrapper and says nothing."""
+    marks = [[marked(t, w) for t, w in b.path] for b in blocks]
+    free = [ALWAYS not in m for m in marks]
+    told = [f and all(w.isdisjoint(COMMENTS) for _, w in b.path) for f, b in zip(free, blocks)]
+    inside = free
+    for rule, among in ((in_main, told), (in_named, told), (in_main, free), (in_named, free), (None, told)):
+        found = [a and (rule is None or rule(b.path)) for a, b in zip(among, blocks)]
+        if any(found):
+            inside = found
+            break
+    held: dict = {}
+    for b, i, m in zip(blocks, inside, marks):
+        if i and any(m):
+            for e, k in zip(serials(b), m):
+                if k:
+                    held[e] = held.get(e, 0) + len(b.text)
+    half = sum(len(b.text) for b, i in zip(blocks, inside) if i) / 2
+    out = []
+    for b, m in zip(blocks, marks):
+        worst = main = FREE
+        if any(m):
+            heading = any(t in HEADINGS for t, _ in b.path)
+            for e, k, (tag, words) in zip(serials(b), m, b.path):
+                if k == MOSTLY and tag == "header" and (main or heading) and not words & NEVER_WORDS - OPEN_WORDS:
+                    k = ASK                         # an article's own header
+                if k == ALWAYS or k and held.get(e, 0) <= half:
+                    worst = max(worst, k)
+                main = main or tag in MAIN
+        out.append(worst)
+    return out, inside
 
 
 def teacher(blocks: list[Block]) -> np.ndarray:
-    """Labels from the paths: main text lies in the article (or an element
-    named like one where there is none) and in no boilerplate element."""
-    inside = [in_main(b.path) for b in blocks]
-    if not any(inside):
-        inside = [any(not w.isdisjoint(MAIN_WORDS) for t, w in b.path if t not in ("html", "body")) for b in blocks]
-    if not any(inside):
-        inside = [any(t == "body" for t, _ in b.path) or not b.path for b in blocks]
-    return np.array([i and not never_main(b.path) for i, b in zip(inside, blocks)], float)
+    """Labels from the paths: main text lies in the article and in no
+    boilerplate element. Where only an open word is against it, headings and
+    running text count as main."""
+    worst, inside = judged(blocks)
+    prose = [len(b.text) * (1 - b.linked) >= PROSE or bool(b.path) and b.path[-1][0] in HEADINGS for b in blocks]
+    return np.array([i and (k == FREE or k == ASK and p) for i, k, p in zip(inside, worst, prose)], float)
 
 
 # ---- vectors --------------------------------------------------------------
@@ -210,7 +280,7 @@ def vectors(blocks: list[Block], words: dict[str, int]) -> np.ndarray:
                 h = words[w] = zlib.crc32(w.encode("utf-8", "replace"))
             dims.append(h % WORD_DIMS)
         x[i, PATH_DIMS:PATH_DIMS + WORD_DIMS] = np.bincount(dims, minlength=WORD_DIMS) / max(1, len(dims))
-        x[i, -NUMBERS:] = (np.log1p(len(b.text)) / 8, b.linked, i / len(blocks), in_main(b.path), never_main(b.path))
+        x[i, -NUMBERS:] = (np.log1p(len(b.text)) / 8, b.linked, i / len(blocks), b.text[-1] in ".!?…")
     return x
 
 
@@ -310,42 +380,76 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, seed:
 
 # ---- training pages -------------------------------------------------------
 
-BUILT_IN = ("<html><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><article>"
-            "<h1>A title</h1><p>The first paragraph of some length, with words.</p><p>The second one.</p></article>"
-            "<footer>All rights reserved.</footer></body></html>")
-
-
-def variants(blocks: list[Block], rng: np.random.Generator, n: int = VARIANTS) -> Iterator[list[Block]]:
-    """The page itself, then n versions with other containers around its
-    article and boilerplate blocks put between."""
-    yield blocks
-    names, tags = sorted(NEVER_WORDS), sorted(NEVER - {"head", "input"})
-    places = [("main", ()), ("div", ("content",)), ("div", ("post", "body")), ("section", ("article",)), ("article", ())]
+LONG = "A sentence of the running text goes on for some time, as the ones before and after it do. "
+BUILT_IN = [
+    "<html><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><article>"
+    "<h1>A title</h1><p>The first paragraph of some length, with words.</p><p>The second one.</p></article>"
+    "<footer>All rights reserved.</footer></body></html>",
+    "<html><body><header>Site<a href='/'>home</a></header><div class='ad'>Buy now</div><article><h1>On things</h1><p>" + LONG +
+    "<p>Short.<h2>More</h2><p>" + LONG * 3 + "<ul><li>one</li><li>two of them</li></ul><blockquote>" + LONG + "</blockquote><p>" +
+    LONG * 2 + "</article><aside><a href='/x'>Also read</a></aside><footer>Contact</footer></body></html>"]
+
+
+def variants(blocks: list[Block], rng: np.random.Generator, n: int = VARIANTS) -> Iterator[tuple[list[Block], list[float]]]:
+    """The page itself with its labels, then n versions that keep the labels of
+    its blocks: other containers around the article, wrappers around the page,
+    sections with open names and headers inside the article; boilerplate put
+    between and comments put behind is no main text."""
+    labels = teacher(blocks).tolist()
+    yield blocks, labels
+    names, tags, loose = sorted(NEVER_WORDS), sorted(NEVER - {"head", "input", "option"}), sorted(OPEN_WORDS)
+    places, named = ["main", "article", "article", "section", "div", "div"], [*sorted(MAIN_WORDS), "page", "col", "inner", "region"]
+    wrappers = [("div", ("content", "sidebar", "wrap")), ("div", ("has", "sidebar")), ("div", ("page", "header", "fixed")),
+                ("form", ("aspnet", "form")), ("div", ("site", "container")), ("div", ("layout", "with", "menu"))]
+    pick = lambda xs: xs[rng.integers(len(xs))]
     short = [b.text[:60] for b in blocks]
     for _ in range(n):
-        tag, words = places[rng.integers(len(places))]
-        box = (tag, frozenset(words))
+        box = (pick(places), frozenset(pick(named) for _ in range(int(rng.integers(0, 3)))))
         page = [b._replace(path=tuple(box if t in MAIN else (t, w) for t, w in b.path)) for b in blocks]
+        marks = list(labels)
+        new = 0
+        for _ in range(int(rng.integers(0, 3))):            # sections and headers of the article itself
+            at = int(rng.integers(len(page)))
+            new -= 1
+            section = (pick(["section", "div"]), frozenset([pick(loose), pick(["work", "engines", "part", "intro"])]))
+            for i in range(at, min(len(page), at + int(rng.integers(1, 5)))):
+                b = page[i]
+                if not marks[i]:
+                    break
+                if b.path and b.path[-1][0] in HEADINGS and rng.random() < 0.5:
+                    page[i] = b._replace(path=(*b.path[:-1], ("header", frozenset()), b.path[-1]), serials=(*b.serials[:-1], new, *b.serials[-1:]))
+                elif len(b.text) >= PROSE or b.path and b.path[-1][0] in HEADINGS:
+                    page[i] = b._replace(path=(*b.path[:-1], section, *b.path[-1:]), serials=(*b.serials[:-1], new, *b.serials[-1:]))
+        if rng.random() < 0.4:
+            tag, words = pick(wrappers)
+            new -= 1
+            for i, b in enumerate(page):
+                k = sum(t in ("html", "body") for t, _ in b.path)
+                page[i] = b._replace(path=(*b.path[:k], (tag, frozenset(words)), *b.path[k:]), serials=(*b.serials[:k], new, *b.serials[k:]))
         for _ in range(int(rng.integers(1, 6))):
             at = int(rng.integers(len(page) + 1))
-            around = page[min(at, len(page) - 1)].path if page else ()
-            odd = (tags[rng.integers(len(tags))], frozenset()) if rng.random() < 0.4 else \
-                ("div", frozenset([names[rng.integers(len(names))]]))
+            around = page[min(at, len(page) - 1)] if page else None
+            odd = (pick(tags), frozenset()) if rng.random() < 0.4 else (pick(["div", "section"]), frozenset([pick(names)]))
+            if rng.random() < 0.2:
+                odd = ("article", frozenset([pick(sorted(TEASER))]))
+            new -= 1
             for _ in range(int(rng.integers(1, 4))):
-                page.insert(at, Block(short[rng.integers(len(short))], (*around, odd), float(rng.random() < 0.3)))
-        yield page
+                page.insert(at, Block(pick(short), (*around.path, odd), float(rng.random() < 0.3), (*around.serials, new)))
+                marks.insert(at, 0.0)
+        yield page, marks
 
 
 def fit(pages: list[str]) -> dict:
     rng = np.random.default_rng(3)
     words: dict[str, int] = {}
     examples = []
-    for page in [*pages, BUILT_IN]:
+    n = max(VARIANTS, TRAIN_PAGES // (len(pages) + len(BUILT_IN)))
+    for page in [*pages, *BUILT_IN]:
         blocks = blocks_of(page)
         if blocks:
             # long pages are cut into runs for training only
-            for v in variants(blocks, rng):
-                x, y = vectors(v, words), teacher(v)
+            for v, labels in variants(blocks, rng, n):
+                x, y = vectors(v, words), np.array(labels)
                 examples += [(x[i:i + 60], y[i:i + 60]) for i in range(0, len(v), 60)]
     return train(examples)
 
@@ -353,17 +457,9 @@ def fit(pages: list[str]) -> dict:
 # ---- pages to text --------------------------------------------------------
 
 def choose(blocks: list[Block], p: np.ndarray) -> list[bool]:
-    """The labeller's choice with the exact check behind it."""
-    has_main = any(in_main(b.path) for b in blocks)
-    out = []
-    for b, q, likely in zip(blocks, p, teacher(blocks)):
-        if never_main(b.path):
-            out.append(False)
-        elif has_main:
-            out.append(q > 1 - SURE if in_main(b.path) else False)
-        else:
-            out.append(q > (1 - SURE if likely else SURE))
-    return out
+    """The labeller's choice, but for blocks in elements that are never main
+    text; it must be sure to leave out what the paths call main."""
+    return [k < MOSTLY and likely and q > 1 - SURE for k, q, likely in zip(judged(blocks)[0], p, teacher(blocks))]
 
 
 def texts(model: dict, pages: list[str | None]) -> list[str]:

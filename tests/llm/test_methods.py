@@ -303,3 +303,28 @@ def test_labeller_agrees_with_held_out_paths(spark):
         blocks = html_text.blocks_of(p)
         x, mask = html_text.padded([html_text.vectors(blocks, {})])
         assert ((html_text.label(model, x, mask)[0][:, 0] > 0.5) == (html_text.teacher(blocks) > 0.5)).all()
+
+
+SENTENCES = "Some words of the text that are read by people on this page, all of them. " * 3
+REMARKS = "<article class=comment><p>I like it</p></article><article class=comment><p>Me too, thanks</p></article>"
+
+
+@pytest.fixture(scope="module")
+def html_model(spark):
+    return html_text.fit([r.html for r in read(spark, SF, "pages").limit(25).collect()])
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='content-sidebar-wrap'><article>{}</article><div class=sidebar>no</div></div>",
+    "<div class='has-sidebar'><div class=entry>{}</div></div>",
+    "<div id='page' class='header-fixed'><main>{}</main><footer>no</footer></div>",
+    "<form id='aspnetForm'><nav>no</nav><div class=content>{}</div></form>",
+    "<article><header><h1>T</h1></header>{}</article>",
+    "<article>{}<section id='related-work'><h2>Related work</h2><p>{}</section><section id=search><p>{}</section></article>",
+])
+def test_html_keeps_the_text_under_wrappers_and_open_names(html_model, page):
+    page = "<html><body><header>Site</header>" + page.replace("{}", "<h1>T</h1><p>" + SENTENCES, 1).replace("{}", SENTENCES) + "</body></html>"
+    page = page.replace("<h1>T</h1></header><h1>T</h1>", "<h1>T</h1></header>")
+    want = ["T", "Related work"] if "related-work" in page else ["T"]
+    got = html_text.texts(html_model, [page])[0].split("\n")
+    assert [g for g in got if g != SENTENCES.strip()] == want and got.count(SENTENCES.strip()) == page.count(SENTENCES)
