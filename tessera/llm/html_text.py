@@ -459,7 +459,7 @@ def fit(pages: list[str]) -> dict:
 def choose(blocks: list[Block], p: np.ndarray) -> list[bool]:
     """The labeller's choice, but for blocks in elements that are never main
     text; it must be sure to leave out what the paths call main."""
-    return [k < MOSTLY and likely and q > 1 - SURE for k, q, likely in zip(judged(blocks)[0], p, teacher(blocks))]
+    return [k < MOSTLY and q > (1 - SURE if likely else 0.5) for k, q, likely in zip(judged(blocks)[0], p, teacher(blocks))]
 
 
 def texts(model: dict, pages: list[str | None]) -> list[str]:

@@ -328,3 +328,13 @@ def test_html_keeps_the_text_under_wrappers_and_open_names(html_model, page):
     want = ["T", "Related work"] if "related-work" in page else ["T"]
     got = html_text.texts(html_model, [page])[0].split("\n")
     assert [g for g in got if g != SENTENCES.strip()] == want and got.count(SENTENCES.strip()) == page.count(SENTENCES)
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='entry-content'>{}</div><div id=comments>" + REMARKS + "</div>",
+    "<div class='entry-content'>{}</div>" + REMARKS,
+    "<article>{}</article><div class=continued><p>" + SENTENCES + "</div>",
+])
+def test_html_labeller_decides_outside_articles(html_model, page):
+    page = "<html><body><nav>Site</nav>" + page.replace("{}", "<h1>T</h1><p>" + SENTENCES) + "<footer>f</footer></body></html>"
+    assert html_text.texts(html_model, [page]) == ["\n".join(["T", *[SENTENCES.strip()] * page.count(SENTENCES)])]
