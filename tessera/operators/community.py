@@ -151,8 +151,8 @@ def round_state(adj: DataFrame, deg: DataFrame, m: DataFrame, comm: DataFrame,
     only if that node's id is lower, so simultaneous moves cannot rotate
     singletons around a cycle.
 
-    Returns (per, tot): per = (g, node, community, gain, kin_cur) with the
-    best candidate (null when none), tot = (g, community, tot, size).
+    Returns (per, tot): per = (g, node, community, gain, lift, kin_cur) with the
+    best candidate (null when none) and lift = gain * m, tot = (g, community, tot, size).
     The modularity of `comm` follows from them: sum(kin_cur)/2m - sum(tot^2)/4m^2.
     """
     g = _g(group_cols)
@@ -178,7 +178,8 @@ def round_state(adj: DataFrame, deg: DataFrame, m: DataFrame, comm: DataFrame,
     gain = (F.col("b.raw") - (F.col("kin_cur") / mm - F.col("k") * F.col("tot_cur") / (2 * mm * mm))
             - F.col("k") * F.col("k") / (2 * mm * mm))
     per = per.select(*g, "node", F.when(F.col("b").isNotNull(), -F.col("b.neg")).alias("community"),
-                     F.when(F.col("b").isNotNull(), gain).alias("gain"), "kin_cur")
+                     F.when(F.col("b").isNotNull(), gain).alias("gain"),
+                     F.when(F.col("b").isNotNull(), gain * mm).alias("lift"), "kin_cur")
     return per, tot
 
 
@@ -204,7 +205,8 @@ def _parity(node: Column, rnd: int) -> Column:
 
 def louvain(edges: DataFrame, max_iterations: int | None = None, epsilon: float = 1e-4,
             group_cols=(), init: DataFrame | None = None, checkpoint_every: int = 1,
-            stats: list | None = None, min_rise: float = 1e-12) -> DataFrame:
+            stats: list | None = None, min_rise: float = 1e-12, per_weight: bool = False,
+            settle: bool = False) -> DataFrame:
     """Level-1 Louvain local moving in bulk rounds. Returns (g, node, community).
 
     Each round one half of the nodes (by hash parity, alternating) takes its
@@ -214,7 +216,11 @@ def louvain(edges: DataFrame, max_iterations: int | None = None, epsilon: float
     rounds in a row (one of each half) that raise it by no more than
     ``min_rise``: the convergence threshold, on modularity, whose scale is the
     same for every graph. With ``max_iterations`` it raises if that many rounds
-    don't get there. The driver
+    don't get there. With ``per_weight`` the threshold is ``epsilon`` / m, so it
+    means the same on a graph of any size. With ``settle`` the loop goes on while
+    any node has a gain above the threshold: when both halves' rounds are refused,
+    the next one takes the moves that are the best of both communities they touch.
+    Those don't interact, so their gains add up. The driver
     sees one count and one modularity value per round. The assignment table
     (nodes-sized) is written as a reliable checkpoint after each round;
     without the cut each round's plan would nest the previous one.
@@ -233,17 +239,30 @@ def louvain(edges: DataFrame, max_iterations: int | None = None, epsilon: float
     gk = g or ["_all"]
     mk = m if g else m.withColumn("_all", F.lit(1))
 
+    over = F.col("lift" if per_weight else "gain") > epsilon
+
     def info(per, tot, rnd):
-        """{group: (modularity, moves for round rnd)} in one job: one row per
-        group (groups are graph partitions: a bounded handful of numbers)."""
+        """{group: (modularity, moves for round rnd, moves of both halves)} in one
+        job: one row per group (groups are graph partitions: a bounded handful of numbers)."""
         pk = per if g else per.withColumn("_all", F.lit(1))
         tk = tot if g else tot.withColumn("_all", F.lit(1))
-        go = (F.col("gain") > epsilon) & _parity(F.col("node"), rnd)
-        a = pk.groupBy(*gk).agg(F.sum("kin_cur").alias("_in"), F.sum(F.when(go, 1).otherwise(0)).alias("n"))
+        go = over & _parity(F.col("node"), rnd)
+        a = pk.groupBy(*gk).agg(F.sum("kin_cur").alias("_in"), F.sum(F.when(go, 1).otherwise(0)).alias("n"),
+                                F.sum(F.when(over, 1).otherwise(0)).alias("both"))
         b = tk.groupBy(*gk).agg(F.sum(F.col("tot") * F.col("tot")).alias("_sq"))
         j = a.join(b, gk).join(F.broadcast(mk), gk)
         q = F.col("_in") / (2 * F.col("m")) - F.col("_sq") / (4 * F.col("m") * F.col("m"))
-        return {tuple(r[c] for c in g): (r["q"], r["n"] or 0) for r in j.select(*gk, q.alias("q"), "n").collect()}
+        return {tuple(r[c] for c in g): (r["q"], r["n"] or 0, r["both"] or 0)
+                for r in j.select(*gk, q.alias("q"), "n", "both").collect()}
+
+    def apart(per, comm):
+        """The moves that are the best of both communities they touch."""
+        every = per.where(over).join(comm.select(*g, "node", F.col("community").alias("old")), [*g, "node"])
+        touch = every.select(*g, "node", F.col("community").alias("new"), F.struct("gain", "node").alias("rank"),
+                             F.explode(F.array("old", "community")).alias("at"))
+        top = touch.groupBy(*g, "at").agg(F.max("rank").alias("top"))
+        return touch.join(top, [*g, "at"]).where(F.col("rank") == F.col("top")).groupBy(*g, "node", "new") \
+            .agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(*g, "node", "new")
 
     def state(assign, rnd):
         per, tot = round_state(adj, deg, m, assign, g)
@@ -257,15 +276,18 @@ def louvain(edges: DataFrame, max_iterations: int | None = None, epsilon: float
         rnd += 1
         if rnd > 0 and cur is None:
             cur = info(per, tot, rnd)
-        n_moves = sum(n for _, n in cur.values())
+        settling = quiet >= 2
+        n_moves = sum(both if settling else n for _, n, both in cur.values())
+        if settling and not n_moves:
+            break
         accepted = 0
         if n_moves:
-            moves = per.where((F.col("gain") > epsilon) & _parity(F.col("node"), rnd)) \
+            moves = apart(per, comm) if settling else per.where(over & _parity(F.col("node"), rnd)) \
                 .select(*g, "node", F.col("community").alias("new"))
             nxt = iterate.write_table(comm.join(moves, [*g, "node"], "left").select(
                 *g, "node", F.coalesce("new", "community").alias("community")), "louvain-assign")
             per_n, tot_n, new = state(nxt, rnd + 1)
-            better = [k for k in new if new[k][0] > cur.get(k, (float("-inf"), 0))[0] + min_rise]
+            better = [k for k in new if new[k][0] > cur.get(k, (float("-inf"),))[0] + min_rise]
             accepted = len(better)
             if accepted == len(new):
                 per.unpersist()
@@ -289,7 +311,7 @@ def louvain(edges: DataFrame, max_iterations: int | None = None, epsilon: float
         if stats is not None:
             stats.append({"round": rnd + 1, "moves": n_moves if accepted else 0, "groups_improved": accepted})
         quiet = 0 if accepted else quiet + 1
-        if quiet >= 2:
+        if quiet >= 2 and not settle or settling and not accepted:
             break
         if max_iterations is not None and rnd + 1 >= max_iterations:
             raise RuntimeError(f"louvain: still improving after {max_iterations} rounds")

@@ -138,3 +138,29 @@ def test_majority_vote_ties_to_lowest(spark):
                                 "node long, partition int, community long")
     got = {r.node: (r.majority, r.n_partitions, r.changes) for r in C.majority_vote(ctx).collect()}
     assert got == {1: (5, 2, 1), 2: (7, 3, 1)}
+
+
+def weak_graph(spark):
+    """Random weights, two faint groups: late rounds raise modularity by little."""
+    import random
+    rng = random.Random(4)
+    rows = [(i, j, 1.0 + rng.random() + 0.2 * (i % 2 == j % 2)) for i in range(36) for j in range(i + 1, 36) if rng.random() < 0.5]
+    return spark.createDataFrame(rows, "i long, j long, weight double")
+
+
+def moves_left(g, comm):
+    """Moves above the registered queries' threshold, 1e-3 / m."""
+    adj = C.symmetric(g)
+    deg = adj.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
+    m = C.total_weight(g)
+    return C.gains(adj, deg, m, comm).where(F.col("gain") > 1e-3 / m.first()[0]).count()
+
+
+def test_registered_louvain_leaves_no_gain(spark, monkeypatch):
+    from tessera.plans import community_q
+    g = weak_graph(spark).persist()
+    monkeypatch.setattr(community_q, "graph", lambda *a: g)
+    out = community_q.q_louvain(spark, None).persist()
+    assert moves_left(g, out) == 0 and out.count() == 36
+    start = g.selectExpr("i AS node").union(g.selectExpr("j")).distinct().selectExpr("node", "node AS community")
+    assert C.modularity_standard(g, out).first()[0] > C.modularity_standard(g, start).first()[0]
