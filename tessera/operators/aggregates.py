@@ -51,3 +51,12 @@ def word_count(df: DataFrame, col: str, sep: str = " ") -> DataFrame:
     """Token counts of whole texts split on a separator (map-side combined)."""
     return df.select(F.explode(F.split(F.col(col), sep)).alias("word")) \
         .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def values_of(df: DataFrame, col: str, known: list[str], most: int = 10_000) -> list[str]:
+    """The known values and all others of a column, for pivots; more than
+    ``most`` values raise instead of being left out."""
+    found = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col}: more than {most} values to pivot")
+    return [*known, *sorted(set(found) - set(known))]

@@ -80,8 +80,9 @@ SELECT o_orderpriority,
        count(*) FILTER (WHERE o_orderstatus = 'P') AS P
 FROM orders GROUP BY 1""")
 def q_agg_pivot(spark, sf_dir):
-    return t(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]) \
-        .agg(F.count(F.lit(1))).fillna(0, ["F", "O", "P"])
+    o = t(spark, sf_dir, "orders").withColumn("o_orderstatus", F.coalesce("o_orderstatus", F.lit("null")))
+    states = A.values_of(o, "o_orderstatus", ["F", "O", "P"])
+    return o.groupBy("o_orderpriority").pivot("o_orderstatus", states).agg(F.count(F.lit(1))).fillna(0, states)
 
 
 @register("agg_stats", """

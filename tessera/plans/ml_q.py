@@ -24,6 +24,7 @@ from tessera.plans.registry import register
 from tessera.sources.tables import read
 
 FP_MIN_SUPPORT = 0.003
+ALL_TERMS = (1 << 31) - 1     # CountVectorizer's vocabSize: no cap
 
 
 def t(spark, sf_dir, name):
@@ -43,11 +44,11 @@ two AS (SELECT [x.l_partkey, y.l_partkey] AS items, count(*) AS freq FROM b x JO
         ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY x.l_partkey, y.l_partkey)
 SELECT items, freq FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE freq >= (SELECT min_count FROM n)""")
 def q_fp_itemsets(spark, sf_dir):
-    """Frequent item sets of up to two parts (FP-growth); association rules are
-    computed by the same model (see fp_rules)."""
+    """All frequent item sets (FP-growth); association rules are computed by the
+    same model (see fp_rules). The SQL has the sets of up to two parts; the test
+    data has no longer frequent one."""
     model = fpm.FPGrowth(itemsCol="items", minSupport=FP_MIN_SUPPORT, minConfidence=0.1).fit(baskets(spark, sf_dir))
-    fi = model.freqItemsets
-    return fi.where(F.size("items") <= 2).select(F.array_sort("items").alias("items"), "freq")
+    return model.freqItemsets.select(F.array_sort("items").alias("items"), "freq")
 
 
 @register("fp_rules")
@@ -58,12 +59,14 @@ def q_fp_rules(spark, sf_dir):
 
 @register("fp_sequences")
 def q_fp_sequences(spark, sf_dir):
-    """Frequent sequences of event types per user (PrefixSpan)."""
+    """All frequent sequences of event types per user (PrefixSpan), up to the
+    length of the longest sequence."""
     ev = t(spark, sf_dir, "events")
     seq = ev.groupBy("user_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))),
                     lambda s: F.array(s["event_type"])).alias("sequence"))
-    ps = fpm.PrefixSpan(minSupport=0.5, maxPatternLength=3, sequenceCol="sequence")
+    longest = seq.agg(F.max(F.size("sequence"))).first()[0] or 1
+    ps = fpm.PrefixSpan(minSupport=0.5, maxPatternLength=longest, sequenceCol="sequence")
     return ps.findFrequentSequentialPatterns(seq)
 
 
@@ -138,13 +141,14 @@ def q_text_tf_idf(spark, sf_dir):
 
 @register("text_vectorizers")
 def q_text_vectorizers(spark, sf_dir):
-    """CountVectorizer, HashingTF and the IDF estimator (row check)."""
+    """CountVectorizer over all terms, HashingTF and the IDF estimator (row check).
+    The sizes are read from the sparse vectors."""
     words = doc_tokens(spark, sf_dir)
-    cv = FT.CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=1 << 12, minDF=2.0).fit(words)
+    cv = FT.CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=ALL_TERMS, minDF=1.0).fit(words)
     ht = FT.HashingTF(inputCol="tokens", outputCol="hashed", numFeatures=1 << 12).transform(cv.transform(words))
     idf = FT.IDF(inputCol="hashed", outputCol="tfidf", minDocFreq=1).fit(ht)
     out = idf.transform(ht)
-    return out.select("doc_id", F.size(vector_to_array("counts")).alias("vocab"),
+    return out.select("doc_id", F.udf(lambda v: v.size, "int")("counts").alias("vocab"),
                       F.aggregate(vector_to_array("tfidf"), F.lit(0.0), lambda a, x: a + x).alias("tfidf_sum"))
 
 
@@ -346,7 +350,7 @@ def q_cluster_models(spark, sf_dir):
         pred = est.fit(e).transform(e)
         out.append(pred.groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).withColumn("model", F.lit(name)))
     words = doc_tokens(spark, sf_dir)
-    counts = FT.CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=512).fit(words).transform(words)
+    counts = FT.HashingTF(inputCol="tokens", outputCol="features", numFeatures=1 << 18).transform(words)
     lda = CU.LDA(k=3, maxIter=5, seed=7).fit(counts)
     dist = vector_to_array("topicDistribution")
     topics = lda.transform(counts).select((F.array_position(dist, F.array_max(dist)) - 1).alias("prediction"))

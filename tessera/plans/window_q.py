@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import timeseries as TS
+from tessera.operators.aggregates import values_of
 from tessera.plans.registry import register
 from tessera.sources.tables import read
 
@@ -241,13 +242,14 @@ FROM customer LEFT JOIN (
   ON p.o_custkey = c_custkey""")
 def q_table_pivot_dummies(spark, sf_dir):
     """pivot_table of order value by status per customer, plus one-hot segments."""
-    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     c = t(spark, sf_dir, "customer")
+    segments = values_of(c, "c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
     dummies = c.select("c_custkey", *[(F.col("c_mktsegment") == s).cast("int").alias(f"seg_{s}") for s in segments])
-    piv = t(spark, sf_dir, "orders").groupBy("o_custkey").pivot("o_orderstatus", ["F", "O", "P"]) \
-        .agg(F.round(F.sum("o_totalprice"), 2))
+    o = t(spark, sf_dir, "orders").withColumn("o_orderstatus", F.coalesce("o_orderstatus", F.lit("null")))
+    states = values_of(o, "o_orderstatus", ["F", "O", "P"])
+    piv = o.groupBy("o_custkey").pivot("o_orderstatus", states).agg(F.round(F.sum("o_totalprice"), 2))
     return dummies.join(piv, dummies.c_custkey == piv.o_custkey, "left").drop("o_custkey") \
-        .fillna(0, ["F", "O", "P"])
+        .fillna(0, states)
 
 
 @register("time_of_day_filter", """

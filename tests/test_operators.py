@@ -239,3 +239,54 @@ def test_ewm_keeps_old_values(spark):
             num, den = num * 0.5 + v, den * 0.5 + 1
         assert math.isclose(got[1, i], num / den, rel_tol=1e-9)
     assert got[None, 0] == 3.0
+
+
+def _table(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_item_sets_of_any_size(spark, tmp_path):
+    from tessera.plans.ml_q import q_fp_itemsets
+    sf = _table(spark, tmp_path, "lineitem", [(o, p) for o in range(3) for p in (1, 2, 3, 4)], "l_orderkey long, l_partkey long")
+    got = [(tuple(r["items"]), r.freq) for r in q_fp_itemsets(spark, sf).collect()]
+    assert len(got) == 15 and ((1, 2, 3, 4), 3) in got and ((1, 3, 4), 3) in got
+
+
+def test_sequences_of_any_length(spark, tmp_path):
+    from tessera.plans.ml_q import q_fp_sequences
+    sf = _table(spark, tmp_path, "events", [(u, i, u * 9 + i, t) for u in range(2) for i, t in enumerate("abcde")],
+                "user_id long, ts long, event_id long, event_type string")
+    got = {"".join(x[0] for x in r.sequence): r.freq for r in q_fp_sequences(spark, sf).collect()}
+    assert len(got) == 31 and got["abcde"] == 2
+
+
+def test_vectorizers_keep_all_terms(spark, tmp_path):
+    from tessera.plans.ml_q import q_text_vectorizers
+    sf = _table(spark, tmp_path, "documents", [(i, " ".join(f"w{i}_{k}" for k in range(2500)), "en") for i in range(2)],
+                "doc_id long, text string, lang string")
+    assert [r.vocab for r in q_text_vectorizers(spark, sf).collect()] == [5000, 5000]
+
+
+def test_lda_sees_all_terms(spark, tmp_path, monkeypatch):
+    from tessera.plans import ml_q
+    _table(spark, tmp_path, "embeddings", [(i, 0, [float(i), i % 3.0]) for i in range(12)], "vec_id long, label int, embedding array<double>")
+    sf = _table(spark, tmp_path, "documents", [(i, " ".join(f"w{i}_{k}" for k in range(300)), "en") for i in range(4)],
+                "doc_id long, text string, lang string")
+    fitted = []
+    fit = ml_q.CU.LDA.fit
+    monkeypatch.setattr(ml_q.CU.LDA, "fit", lambda self, df: fitted.append(df) or fit(self, df))
+    ml_q.q_cluster_models(spark, sf).collect()
+    terms = fitted[0].select(F.udf(lambda v: float(v.values.sum()), "double")("features").alias("n")).collect()
+    assert [r.n for r in terms] == [300.0] * 4
+
+
+def test_pivots_keep_new_values(spark, tmp_path):
+    from tessera.plans.aggregate_q import q_agg_pivot
+    from tessera.plans.window_q import q_table_pivot_dummies
+    _table(spark, tmp_path, "customer", [(1, "BUILDING"), (2, "SPACE"), (3, None)], "c_custkey long, c_mktsegment string")
+    sf = _table(spark, tmp_path, "orders", [(1, "1-URGENT", "F", 2.0), (1, "1-URGENT", "X", 3.0), (2, "1-URGENT", None, 4.0)],
+                "o_custkey long, o_orderpriority string, o_orderstatus string, o_totalprice double")
+    assert q_agg_pivot(spark, sf).first().asDict() == {"o_orderpriority": "1-URGENT", "F": 1, "O": 0, "P": 0, "X": 1, "null": 1}
+    rows = {r.c_custkey: r.asDict() for r in q_table_pivot_dummies(spark, sf).collect()}
+    assert rows[2]["seg_SPACE"] == 1 and rows[1]["seg_SPACE"] == 0 and rows[1]["X"] == 3.0 and rows[2]["null"] == 4.0
