@@ -30,7 +30,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9]){15,}+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+# Proposed at every start, also inside the reach of another; at most 30 more letters or digits are looked at.
+IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
 # Lengths of account numbers by country (public registry).
@@ -79,7 +80,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 def _iban_end(m: re.Match) -> int | None:
     """End of the account number when its country's length and mod-97 hold."""
-    want, s = IBAN_LENGTH.get(m[0][:2]), m[0]
+    want, s = IBAN_LENGTH.get(m[1][:2]), m[1]
     seen = 0
     for i, c in enumerate(s):
         seen += c != " "
@@ -102,9 +103,11 @@ def spans_of(text: str) -> list[tuple[str, int, int, float]]:
             found.append(("card", *m.span()))
     if "+" in text:
         found += (("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= sum(map(str.isdigit, m[0])) <= 15)
+    done = 0
     for m in IBAN.finditer(text):
-        if (end := _iban_end(m)) is not None:
+        if m.start() >= done and (end := _iban_end(m)) is not None:
             found.append(("iban", m.start(), end))
+            done = end
     if "-" in text:
         found += (("ssn", *m.span()) for m in SSN.finditer(text))
     out = []

@@ -338,3 +338,11 @@ def test_html_keeps_the_text_under_wrappers_and_open_names(html_model, page):
 def test_html_labeller_decides_outside_articles(html_model, page):
     page = "<html><body><nav>Site</nav>" + page.replace("{}", "<h1>T</h1><p>" + SENTENCES) + "<footer>f</footer></body></html>"
     assert html_text.texts(html_model, [page]) == ["\n".join(["T", *[SENTENCES.strip()] * page.count(SENTENCES)])]
+
+
+def test_pii_finds_each_of_several_accounts():
+    a, b = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    found = lambda text: [text[s:e] for k, s, e, _ in pii.spans_of(text) if k == "iban"]
+    assert found(f"{a} {b}") == [a, b] and found(f"{b} {a} {a}") == [b, a, a]
+    assert found(f"AB12 REF 7 {a}") == [a] and found(f"DE11 CODE ORDER {b}") == [b]
+    assert found(f"{a}0 X{a}") == []
