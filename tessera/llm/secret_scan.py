@@ -3,7 +3,9 @@
 Base shapes (assign, access, hex) are found by pattern; positions come from the
 lengths of the pieces between the matches. Further candidates are runs of 20 or
 more base64 characters. Each candidate's encoding is inferred from its
-characters (hex, base32, base64), and three tests ask whether it is random in
+characters (hex, hex in dashed groups of 4 and more as in a UUID, base32, base36
+in one case, base64); runs without one (no digit, no letter, or one case with
+other dashes) are no candidates. Three tests ask whether it is random in
 that alphabet: chi-squared for uniformity, the runs test and the lag-1 serial
 correlation. The smallest p-value, times three, is the candidate's. Candidates
 whose randomness is rejected are no secrets. Rejection is controlled by
@@ -29,7 +31,9 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 ALPHABETS = {
     "hex": "0123456789abcdef",
+    "dashed": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 FDR = 0.05
@@ -62,7 +66,9 @@ def base_spans(text: Column) -> Column:
 def _encoding(v: Column) -> Column:
     has = lambda cls: v.rlike(f"[{cls}]")
     return F.when(v.rlike("^([0-9a-f]+|[0-9A-F]+)$") & has("0-9") & has("A-Fa-f"), "hex") \
+        .when(v.rlike("^([0-9a-f]{4,}(-[0-9a-f]{4,})+|[0-9A-F]{4,}(-[0-9A-F]{4,})+)$") & has("0-9") & has("A-Fa-f"), "dashed") \
         .when(v.rlike("^[A-Z2-7]+=*$") & has("2-7") & has("A-Z"), "base32") \
+        .when(v.rlike("^([a-z0-9]+|[A-Z0-9]+)$") & has("0-9") & has("A-Za-z"), "base36") \
         .when(has("0-9") & has("A-Z") & has("a-z"), "base64")
 
 
@@ -76,7 +82,8 @@ def randomness(cands: DataFrame) -> DataFrame:
     agrees with random characters of its alphabet."""
     alphabet = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])
     core = F.regexp_replace("value", "=+$", "")
-    core = F.when(F.col("encoding") == "hex", F.lower(core)) \
+    core = F.when(F.col("encoding").isin("hex", "base36"), F.lower(core)) \
+        .when(F.col("encoding") == "dashed", F.lower(F.replace(core, F.lit("-")))) \
         .when(F.col("encoding") == "base64", F.translate(core, "-_", "+/")).otherwise(core)
     c = cands.withColumns({"core_": core, "abc_": alphabet[F.col("encoding")]})
     c = c.withColumns({"n_": F.length("core_").cast("double"), "k_": F.length("abc_").cast("double"),
@@ -85,12 +92,15 @@ def randomness(cands: DataFrame) -> DataFrame:
     c = c.withColumns({
         "sq_": F.expr("aggregate(array_distinct(chars_), double(0), (a, ch) -> a + pow(n_ - length(replace(core_, ch, '')), 2))"),
         "hi_": F.expr("transform(x_, x -> int(x >= k_ / 2))"),
-        "dev_": F.expr("transform(x_, x -> x - aggregate(x_, double(0), (a, y) -> a + y) / n_)")})
+        "s_": F.expr("aggregate(x_, double(0), (a, x) -> a + x)"),
+        "s2_": F.expr("aggregate(x_, double(0), (a, x) -> a + x * x)"),
+        "s11_": F.expr("aggregate(zip_with(x_, slice(x_, 2, size(x_)), (a, b) -> coalesce(a * b, double(0))), double(0), (a, b) -> a + b)")})
     c = c.withColumns({
         "n1_": F.expr("aggregate(hi_, double(0), (a, b) -> a + b)"),
         "runs_": F.expr("1 + aggregate(zip_with(hi_, slice(hi_, 2, size(hi_)), (a, b) -> if(b IS NOT NULL AND a <> b, 1, 0)), double(0), (a, b) -> a + b)"),
-        "cov_": F.expr("aggregate(zip_with(dev_, slice(dev_, 2, size(dev_)), (a, b) -> coalesce(a * b, double(0))), double(0), (a, b) -> a + b)"),
-        "var_": F.expr("aggregate(dev_, double(0), (a, b) -> a + b * b)")})
+        # sums of whole numbers: linear in the token's length
+        "cov_": F.expr("s11_ - s_ / n_ * (2 * s_ - x_[0] - x_[size(x_) - 1]) + (n_ - 1) * pow(s_ / n_, 2)"),
+        "var_": F.expr("(n_ * s2_ - s_ * s_) / n_")})
     df = F.col("k_") - 1
     chi = F.col("k_") / F.col("n_") * F.col("sq_") - F.col("n_")
     z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
@@ -99,7 +109,7 @@ def randomness(cands: DataFrame) -> DataFrame:
     z_runs = F.when(spread > 0, F.abs(F.col("runs_") - mean) / F.sqrt(spread)).otherwise(F.lit(9.0))
     z_serial = F.when(F.col("var_") > 0, F.abs(F.col("cov_") / F.col("var_")) * F.sqrt("n_")).otherwise(F.lit(9.0))
     p = F.least(F.lit(1.0), 3 * F.least(_tail(z_chi), 2 * _tail(z_runs), 2 * _tail(z_serial)))
-    return c.withColumn("p", p).drop("core_", "abc_", "n_", "k_", "chars_", "x_", "sq_", "hi_", "dev_", "n1_",
+    return c.withColumn("p", p).drop("core_", "abc_", "n_", "k_", "chars_", "x_", "sq_", "hi_", "s_", "s2_", "s11_", "n1_",
                                      "runs_", "cov_", "var_")
 
 
@@ -129,7 +139,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fd
     c = randomness(c.withColumn("band", band)).withColumn(
         "bin", F.floor(F.least(-100 * F.log10(F.greatest("p", F.lit(10 ** -P_FLOOR))), F.lit(100 * P_FLOOR))).cast("int"))
     c = write_table(c.select("rid", "s", "encoding", "band", "p", "bin"), "secrets-tested")
-    cuts = F.broadcast(rejected_below(c, fdr))  # a row for each encoding and band: 21 at most
+    cuts = F.broadcast(rejected_below(c, fdr))  # a row for each encoding and band: 35 at most
     stay = c.join(cuts, ["encoding", "band"]).where("cut IS NULL OR bin < cut")
     stay = stay.groupBy("rid").agg(F.array_sort(F.collect_list("s"), lambda a, b: a["start"] - b["start"]).alias("random"))
     by_start = F.array_sort("base", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -346,3 +347,23 @@ def test_pii_finds_each_of_several_accounts():
     assert found(f"{a} {b}") == [a, b] and found(f"{b} {a} {a}") == [b, a, a]
     assert found(f"AB12 REF 7 {a}") == [a] and found(f"DE11 CODE ORDER {b}") == [b]
     assert found(f"{a}0 X{a}") == []
+
+
+def test_secrets_in_one_case_and_dashed_hex(spark):
+    rng = random.Random(8)
+    some = lambda abc, n: "".join(rng.choice(abc) for _ in range(n))
+    low, up = secret_scan.ALPHABETS["base36"], secret_scan.ALPHABETS["base36"].upper()
+    keys = [f(x) for x in range(20) for f in (
+        lambda _: "z1" + some(low, 30), lambda _: "Z8" + some(up, 30),
+        lambda _: "a1" + "-".join(some("0123456789abcdef", n) for n in (6, 4, 4, 4, 12)))]
+    words = ["abababababababababababab12" * 2, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa9z", "0000-0000-0000-0000-0000-0000-000a"]
+    df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(keys + words)], "doc_id long, text string")
+    found = {r.doc_id for r in secret_scan.find_secrets(df).collect() if any(s.kind == "random" for s in r.spans)}
+    assert len(found & set(range(60))) >= 55 and not found & set(range(60, 63))
+
+
+def test_secrets_long_token_takes_linear_time(spark):
+    token = "".join(random.Random(9).choice(secret_scan.ALPHABETS["base64"]) for _ in range(100_000))
+    df = spark.createDataFrame([(token, "base64")], "value string, encoding string")
+    start = time.time()
+    assert 0 < secret_scan.randomness(df).first()["p"] <= 1 and time.time() - start < 30
