@@ -5,8 +5,10 @@ than a sequence are cut into full pieces and a rest. Each piece uses three
 resources of a sequence: tokens, one document, and attention cost (its length
 squared). Pieces are dealt evenly into shards; a shard packs its pieces,
 longest first, each into the open sequence that fits under every capacity and
-is left with the smallest weighted residual norm (or, as an option, has the
-largest weighted dot-product of need and residual), else into a new one.
+is left with the fewest tokens, then the smallest weighted residual norm (or, as
+an option, has the largest weighted dot-product of need and residual), else into
+a new one. By default only the token limit can bind: max_docs and max_cost
+follow from it.
 Sequences of a shard are closed at its end, so at most about one part-filled
 sequence is left per SHARD_PIECES pieces.
 
@@ -150,7 +152,7 @@ def best_fit(lengths: np.ndarray, limit: int = MAX_TOKENS, max_docs: int = MAX_T
              max_cost: float | None = None, weights: tuple[float, float, float] = WEIGHTS,
              rule: str = "residual") -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of each piece, longest first. ``rule``: residual (the
-    smallest weighted norm of what stays free) or dot (the largest weighted
+    fewest tokens free, then the smallest weighted norm of what stays free) or dot (the largest weighted
     dot-product of the piece's needs and what is free)."""
     cost = float(limit) ** 2 if max_cost is None else float(max_cost)
     cap = np.array([limit, max_docs, cost])
@@ -170,6 +172,8 @@ def best_fit(lengths: np.ndarray, limit: int = MAX_TOKENS, max_docs: int = MAX_T
             if rule == "dot":
                 score = -((free[:, full:used][:, at] * scale) * (need[:, None] * scale)).sum(axis=0)
             else:
+                tokens = left[0, at]
+                at = at[tokens == tokens.min()]
                 score = ((left[:, at] * scale) ** 2).sum(axis=0)
             k = full + int(at[np.argmin(score)])
         else:

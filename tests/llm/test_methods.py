@@ -367,3 +367,8 @@ def test_secrets_long_token_takes_linear_time(spark):
     df = spark.createDataFrame([(token, "base64")], "value string, encoding string")
     start = time.time()
     assert 0 < secret_scan.randomness(df).first()["p"] <= 1 and time.time() - start < 30
+
+
+def test_best_fit_prefers_the_exact_fit():
+    seq, _ = packing.best_fit(np.array([3900] + [200] * 20 + [96]), 4096)
+    assert seq[-1] == seq[1] != seq[0]
