@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter, defaultdict
 from decimal import Decimal
 from fractions import Fraction
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import minhash, negatives, queries, whitening
+from tessera.llm.common import ascii_lower
 from tessera.sources.tables import read
 
 SF = "/root/testdata/sf0.001"
@@ -20,7 +22,7 @@ NAN, INF = float("nan"), float("inf")
 # ---- minhash ----------------------------------------------------------------
 
 def shingles(text, size=5):
-    w = minhash._WORDS.findall(minhash.ascii_lower(text or ""))
+    w = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(text or ""))
     return frozenset(tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
 
 
@@ -83,10 +85,41 @@ def test_stars_alone_would_lose_links(spark):
     words = [f"w{i}" for i in range(400)]
     center, twin = " ".join(words[:200]), " ".join(words[20:220])
     rows = [(1, center), (2, twin), (3, " ".join(words[20:218]) + " other")]
-    sets = [(i, len(h), [7], [int(x) for x in h.view(np.int64)]) for i, t in rows
-            for h in [minhash.shingle_set(t.split())]]
+    sets = [(i, len(h), [7, i], [int(x) for x in h.view(np.int64)]) for (i, _), h in
+            zip(rows, minhash.shingle_sets([t.encode() for _, t in rows]))]
     df = spark.createDataFrame(sets, "rep long, n long, bands array<long>, hashes array<long>")
-    assert {(r.node, r.root) for r in minhash.similar_components(df).collect()} == {(2, 2), (3, 2)}
+    found = minhash.similar_components(minhash.shared_buckets(df), df.select("rep", "hashes")).collect()
+    assert {(r.node, r.root) for r in found} == {(2, 2), (3, 2)}
+
+
+@pytest.mark.parametrize("small", [16, 1000])
+def test_blocks_lose_no_link(spark, monkeypatch, small):
+    """One bucket of 300 documents with few links, cut into many cells."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    texts, base = [], rng.choices(words, k=60)
+    for _ in range(300):
+        copy = list(rng.choice(texts[-40:]).split()) if texts and rng.random() < .6 else list(base)
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        texts.append(" ".join(copy))
+    texts = list(dict.fromkeys(texts))
+    sets = minhash.shingle_sets([t.encode() for t in texts])
+    df = spark.createDataFrame([(i, len(h), [7], [int(x) for x in h.view(np.int64)]) for i, h in enumerate(sets)],
+                               "rep long, n long, bands array<long>, hashes array<long>")
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(minhash, "SMALL", small)
+    found = minhash.similar_components(minhash.shared_buckets(df), df.select("rep", "hashes"))
+    got = {r.node: r.root for r in found.collect()}
+    want = {i: c for i, (c, _) in plain_components(list(enumerate(texts))).items()}
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) > 50
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 16)
+    rng = np.random.default_rng(2)
+    a, b = ([np.unique(rng.integers(0, 200, n)) for n in (0, 3, 50, 120)] for _ in range(2))
+    assert (minhash.shared_counts(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
 
 
 def test_densified_bins_agree_as_sets_do():
@@ -97,18 +130,18 @@ def test_densified_bins_agree_as_sets_do():
             same = rng.integers(0, 1 << 64, int(np.ceil(size * .86)), dtype=np.uint64)
             a = np.unique(np.r_[same, rng.integers(0, 1 << 64, size - len(same), dtype=np.uint64)])
             b = np.unique(same)
-            x, y = minhash.one_permutation(a), minhash.one_permutation(b)
+            x, y = minhash.one_permutation([a, b])
             agree.append((x == y).mean() - len(b) / len(a))
-            missed += not (minhash.band_keys(x) == minhash.band_keys(y)).any()
+            missed += not np.equal(*minhash.band_keys(np.stack([x, y]))).any()
     assert not missed and abs(np.mean(agree)) < .01
 
 
 def test_one_permutation_fills_every_bin():
     for n in (1, 2, 5):
         h = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64))
-        assert set(minhash.one_permutation(h)) <= set(h)
+        assert set(minhash.one_permutation([h])[0]) <= set(h)
     one = np.array([5], np.uint64)
-    assert (minhash.one_permutation(one) == one).all()
+    assert (minhash.one_permutation([one]) == one).all() and minhash.one_permutation([]).shape == (0, minhash.BINS)
 
 
 def test_minhash_edges(spark):
