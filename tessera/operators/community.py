@@ -422,8 +422,9 @@ def induced_subgraph(graph: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def incremental_update(graph: DataFrame, communities: DataFrame, added: DataFrame,
-                       removed: DataFrame | None = None, hops: int = 2, **louvain_kw):
+                       removed: DataFrame | None = None, hops: int = 2, local_moving=None, **louvain_kw):
     """Louvain again on the k-hop region around a delta; old ids elsewhere.
+    ``local_moving``: another function of the edges instead of ``louvain``.
 
     Returns (updated communities (node, community), region nodes). Old and
     new ids live in separate namespaces until the final renaming to the
@@ -433,7 +434,7 @@ def incremental_update(graph: DataFrame, communities: DataFrame, added: DataFram
     aff = affected_nodes(added, removed, communities)
     region = khop_region(g2, aff, communities, hops)
     sub = induced_subgraph(g2, region)
-    new = louvain(sub, **louvain_kw)
+    new = (local_moving or louvain)(sub, **louvain_kw)
     merged = communities.join(new.withColumnRenamed("community", "new"), "node", "full") \
         .select("node", F.when(F.col("new").isNotNull(), F.struct(F.lit(1).alias("ns"), F.col("new").alias("id")))
                 .otherwise(F.struct(F.lit(0).alias("ns"), F.col("community").alias("id"))).alias("key"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import basket as B
 from tessera.operators import community as C
-from tessera.operators import iterate
+from tessera.operators import iterate, worklist
 from tessera.plans.basket_q import CTE, edges, partitioned
 from tessera.plans.registry import register
 from tessera.session import scratch_path
@@ -25,7 +25,7 @@ from tessera.sources.tables import read
 EPSILON = 1e-7
 # Louvain's threshold in units of 1/m, as a gain scales with it: no node is left
 # with a gain above it. The reference's 1e-4 at m = 26 is 2.6e-3.
-FIXED_POINT = {"epsilon": 1e-3, "per_weight": True, "settle": True}
+FIXED_POINT = {"epsilon": 1e-3, "per_weight": True}
 HOPS = 2
 ADDED = [(101, 115), (102, 109)]
 ADDED_WEIGHT = 0.5
@@ -103,7 +103,7 @@ vr AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY votes DESC, commu
               sum(votes) OVER (PARTITION BY node) AS n_partitions FROM votes),
 added AS (SELECT * FROM (VALUES {ADDED_SQL}) t(i, j, weight)),
 g2 AS MATERIALIZED (SELECT i, j, CAST(weight AS DOUBLE) AS weight FROM g
-       WHERE (i, j) NOT IN (SELECT (i, j) FROM added)
+       WHERE NOT EXISTS (SELECT 1 FROM added a WHERE a.i = g.i AND a.j = g.j)
        UNION ALL SELECT CAST(i AS BIGINT), CAST(j AS BIGINT), CAST(weight AS DOUBLE) FROM added),
 adj2 AS MATERIALIZED (SELECT i AS src, j AS dst FROM g2 UNION ALL SELECT j, i FROM g2),
 aff AS (SELECT DISTINCT e.node, c.community FROM (SELECT unnest([{ADDED_NODES}]) AS node) e
@@ -184,7 +184,46 @@ def q_best_move(spark, sf_dir):
 
 @register("louvain_local_moving")
 def q_louvain(spark, sf_dir):
-    return C.louvain(graph(spark, sf_dir), **FIXED_POINT)
+    return worklist.louvain(graph(spark, sf_dir), **FIXED_POINT)
+
+
+def _facts(g, found, group_cols=()):
+    """What must hold of a Louvain result, per group: every node of the graph
+    once, communities named by their smallest member, no modularity lost against
+    every node alone, and no move left above the threshold."""
+    k = list(group_cols) or ["partition"]
+    if not group_cols:
+        g, found = g.withColumn("partition", F.lit(-1)), found.withColumn("partition", F.lit(-1))
+    found = iterate.write_table(found, "louvain-found")
+    adj = C.symmetric(g, k)
+    deg = adj.groupBy(*k, F.col("src").alias("node")).agg(F.sum("w").alias("k"))
+    m = C.total_weight(g, k)
+    left = C.gains(adj, deg, m, found, k).join(F.broadcast(m), k) \
+        .groupBy(*k).agg(F.sum((F.col("gain") > FIXED_POINT["epsilon"] / F.col("m")).cast("long")).alias("left"))
+    alone = deg.select(*k, "node", F.col("node").alias("community"))
+    rise = C.modularity_standard(g, found, k).withColumnRenamed("modularity", "q") \
+        .join(C.modularity_standard(g, alone, k).withColumnRenamed("modularity", "q0"), k)
+    names = found.groupBy(*k, "community").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size")) \
+        .groupBy(*k).agg(F.sum("size").alias("n_rows"), F.min(F.col("least") == F.col("community")).alias("named"))
+    nodes = found.join(deg, [*k, "node"]).groupBy(*k).agg(F.countDistinct("node").alias("n_nodes"))
+    return nodes.join(names, k).join(rise, k).join(left, k, "left").select(
+        *k, "n_nodes", "n_rows", "named", (F.col("q") >= F.col("q0")).alias("not_below_start"),
+        F.coalesce("left", F.lit(0)).alias("moves_left"))
+
+
+FACTS = "count(*) AS n_nodes, count(*) AS n_rows, TRUE AS named, TRUE AS not_below_start, CAST(0 AS BIGINT) AS moves_left"
+
+
+@register("louvain_facts", gsql(f"SELECT -1 AS partition, {FACTS} FROM gnodes"))
+def q_louvain_facts(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return _facts(g, worklist.louvain(g, **FIXED_POINT))
+
+
+@register("partition_louvain_facts", gsql(f"SELECT partition, {FACTS} FROM (SELECT DISTINCT partition, node FROM padj) GROUP BY 1"))
+def q_partition_louvain_facts(spark, sf_dir):
+    pg = iterate.write_table(partition_graphs(spark, sf_dir), "partition-graphs")
+    return _facts(pg, worklist.louvain(pg, group_cols=["partition"], **FIXED_POINT), ["partition"])
 
 
 @register("community_sizes", gsql("""
@@ -230,7 +269,7 @@ def q_sink_communities(spark, sf_dir):
 
 @register("partition_local_louvain")
 def q_partition_local_louvain(spark, sf_dir):
-    return C.louvain(partition_graphs(spark, sf_dir), group_cols=["partition"], **FIXED_POINT)
+    return worklist.louvain(partition_graphs(spark, sf_dir), group_cols=["partition"], **FIXED_POINT)
 
 
 @register("boundary_exchange", gsql("SELECT node, partition, community FROM bctx"))
@@ -253,7 +292,7 @@ def q_boundary_majority_vote(spark, sf_dir):
 def q_distributed_sync(spark, sf_dir):
     """Partition-local Louvain, boundary exchange, majority vote, written back."""
     pe = partitioned(spark, sf_dir)
-    local = C.louvain(partition_graphs(spark, sf_dir), group_cols=["partition"], **FIXED_POINT)
+    local = worklist.louvain(partition_graphs(spark, sf_dir), group_cols=["partition"], **FIXED_POINT)
     vote = C.majority_vote(C.boundary_exchange(B.boundary_nodes(pe), local))
     return C.apply_vote(local, vote)
 
@@ -292,7 +331,8 @@ def q_induced_subgraph(spark, sf_dir):
 def q_incremental_update(spark, sf_dir):
     g = graph(spark, sf_dir).withColumn("weight", F.col("weight").cast("double"))
     comm = brand_communities(spark, sf_dir, g)
-    updated, _ = C.incremental_update(g, comm, added_edges(spark), None, HOPS, **FIXED_POINT)
+    updated, _ = C.incremental_update(g, comm, added_edges(spark), None, HOPS,
+                                        local_moving=worklist.louvain, **FIXED_POINT)
     return updated
 
 
