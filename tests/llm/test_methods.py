@@ -236,7 +236,7 @@ def test_tokens_equal_the_tokenizer():
              "日本語 テスト 😀!!", "end. (par) \"q\" a.b.c |x| ÑLL!! d'où", "　tab\tnew\nline \x85 z"]
     for x in texts:
         for cache_words in (packing.CACHE_WORDS, 4):
-            got = np.frombuffer(packing.encode_text(x, path, cache_words), "<u4").tolist()
+            got = np.frombuffer(packing.encode_texts([x], path, cache_words)[0], "<u4").tolist()
             assert got == t.encode(x, add_special_tokens=False).ids, x
 
 
@@ -372,3 +372,48 @@ def test_secrets_long_token_takes_linear_time(spark):
 def test_best_fit_prefers_the_exact_fit():
     seq, _ = packing.best_fit(np.array([3900] + [200] * 20 + [96]), 4096)
     assert seq[-1] == seq[1] != seq[0]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_texts_get_the_tokenizers_ids(name):
+    """Also of a cased tokenizer that reads white space with its words."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path(name)
+    texts = ["", "The house, THE HOUSE!  and\tits\u00a0tree;", "Stra\u00dfe, \u00c4pfel. \u039f\u0394\u039f\u03a3, \u039f\u0394\u039f\u03a3 e\u0301, \u0301x don't, it's|x 12, 3.4 a1, --, <|endoftext|>,",
+             "a\x1cb \x1d, c\x85d"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in packing.encode_texts(texts, path)] == want
+
+
+def test_shards_leave_no_part_filled_sequences(spark):
+    """Short pieces, few sequences a shard: at most 1% over the lower bound."""
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(5, 41, 20000)
+    loose = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "rid long, length long")
+    rows = packing.placed_pieces(loose, 4096, 1000, {}).collect()
+    assert sorted(r.rid for r in rows) == list(range(len(lengths)))
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, int(lengths[r.rid])))
+    for s in by.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert at <= 4096
+    assert len(by) <= 1.01 * -(-lengths.sum() // 4096)
+
+
+def test_norm_needs_no_more_than_plain_best_fit():
+    rng = np.random.default_rng(7)
+    for draw in (lambda: rng.integers(5, 41, 3000), lambda: rng.integers(50, 2500, 1500), lambda: rng.integers(1, 4096, 800)):
+        n = draw()
+        plain: list[int] = []
+        for x in sorted(n.tolist(), reverse=True):
+            fit = [i for i, free in enumerate(plain) if free >= x]
+            if fit:
+                plain[min(fit, key=plain.__getitem__)] -= x
+            else:
+                plain.append(4096 - x)
+        assert packing.best_fit(n)[0].max() + 1 <= len(plain)
