@@ -51,22 +51,61 @@ def q_fp_itemsets(spark, sf_dir):
     return model.freqItemsets.select(F.array_sort("items").alias("items"), "freq")
 
 
-@register("fp_rules")
+RULE_MIN_SUPPORT, RULE_MIN_CONFIDENCE = 0.01, 0.2
+
+
+@register("fp_rules", f"""
+WITH b AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey),
+n AS (SELECT count(DISTINCT l_orderkey) AS n FROM b),
+one AS (SELECT p_brand, count(*) AS c FROM b GROUP BY 1),
+two AS (SELECT x.p_brand AS a, y.p_brand AS b, count(*) AS c FROM b x JOIN b y USING (l_orderkey) WHERE x.p_brand <> y.p_brand GROUP BY 1, 2)
+SELECT two.a AS antecedent, two.b AS consequent, round(two.c / o.c, 6) AS confidence, round((two.c / o.c) / (d.c / n), 6) AS lift,
+  round(two.c / n, 6) AS support
+FROM two JOIN one o ON o.p_brand = two.a JOIN one d ON d.p_brand = two.b, n
+WHERE two.c >= ceil({RULE_MIN_SUPPORT} * n) AND two.c / o.c >= {RULE_MIN_CONFIDENCE}""")
 def q_fp_rules(spark, sf_dir):
-    model = fpm.FPGrowth(itemsCol="items", minSupport=FP_MIN_SUPPORT, minConfidence=0.05).fit(baskets(spark, sf_dir))
-    return model.associationRules.select("antecedent", "consequent", "confidence", "lift", "support")
-
-
-@register("fp_sequences")
+    """Association rules from one brand to another in an order (FP-growth), with
+    their confidence, lift and support; brands, as pairs of parts have no rule."""
+    li = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    part = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    sets = li.join(part, "l_partkey").groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("items"))    # brands: a fixed few
+    model = fpm.FPGrowth(itemsCol="items", minSupport=RULE_MIN_SUPPORT, minConfidence=RULE_MIN_CONFIDENCE).fit(sets)
+    return model.associationRules.where(F.size("antecedent") == 1).select(
+        F.col("antecedent")[0].alias("antecedent"), F.col("consequent")[0].alias("consequent"),
+        *[F.round(c, 6).alias(c) for c in ("confidence", "lift", "support")])
+
+
+SESSION_GAP_HOURS = 8
+SEQ_MIN_SUPPORT = 0.01
+
+
+@register("fp_sequences", f"""
+WITH RECURSIVE e AS (SELECT user_id, ts, event_id, event_type, coalesce(ts > lag(ts) OVER w + INTERVAL {SESSION_GAP_HOURS} HOUR, TRUE) AS starts
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(starts::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM e),
+i AS (SELECT user_id, session, event_type, row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS pos FROM s),
+r(user_id, session, pattern, pos) AS (
+  SELECT user_id, session, [event_type], min(pos) FROM i GROUP BY user_id, session, event_type
+  UNION
+  SELECT r.user_id, r.session, list_append(r.pattern, i.event_type), min(i.pos) FROM r
+  JOIN i ON i.user_id = r.user_id AND i.session = r.session AND i.pos > r.pos
+  GROUP BY r.user_id, r.session, r.pattern, r.pos, i.event_type)
+SELECT [[x] FOR x IN pattern] AS sequence, count(*) AS freq FROM r GROUP BY pattern
+HAVING count(*) >= ceil({SEQ_MIN_SUPPORT} * (SELECT count(*) FROM (SELECT DISTINCT user_id, session FROM i)))""")
 def q_fp_sequences(spark, sf_dir):
-    """All frequent sequences of event types per user (PrefixSpan), up to the
-    length of the longest sequence."""
-    ev = t(spark, sf_dir, "events")
-    seq = ev.groupBy("user_id").agg(
+    """All frequent sequences of event types in the users' sessions (PrefixSpan),
+    of any length. A session ends after SESSION_GAP_HOURS without an event: over
+    a user's whole history, half of the users share sequences of a dozen types
+    and more, and their number grows exponentially with the length."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    late = F.col("ts") > F.lag("ts").over(order) + F.expr(f"INTERVAL {SESSION_GAP_HOURS} HOURS")
+    ev = t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", F.coalesce(late, F.lit(True)).alias("starts"))
+    ev = ev.withColumn("session", F.sum(F.col("starts").cast("int")).over(order))
+    seq = ev.groupBy("user_id", "session").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))),
-                    lambda s: F.array(s["event_type"])).alias("sequence"))
+                    lambda s: F.array(s["event_type"])).alias("sequence")).persist()
     longest = seq.agg(F.max(F.size("sequence"))).first()[0] or 1
-    ps = fpm.PrefixSpan(minSupport=0.5, maxPatternLength=longest, sequenceCol="sequence")
+    ps = fpm.PrefixSpan(minSupport=SEQ_MIN_SUPPORT, maxPatternLength=longest, sequenceCol="sequence")
     return ps.findFrequentSequentialPatterns(seq)
 
 
