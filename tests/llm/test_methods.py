@@ -417,3 +417,55 @@ def test_norm_needs_no_more_than_plain_best_fit():
             else:
                 plain.append(4096 - x)
         assert packing.best_fit(n)[0].max() + 1 <= len(plain)
+
+
+NAMES = ["HttpServletRequest2Wrapper", "getUserProfileById2Async", "org/apache/spark/sql/Dataset2", "AbstractSingletonProxyFactoryBean3",
+         "usr/local/lib/python3/dist-packages", "MAX_RETRY_COUNT_PER_HOST_2024", "application_config_v2_staging",
+         "com/example/project1/Module2Test", "ThreadPoolTaskExecutor4Bean", "internal-load-balancer-eu-west-1",
+         "InvoiceNumber20240101Draft", "my-long-kubernetes-pod-name-7", "kafka-topic-orders-v2-retry-dlq",
+         "Sha256WithRSAEncryptionOid", "TestCase12345ForLongNames", "src/main/resources/Config3", "Utf8StringDecoderFactoryImpl",
+         "customerAddressLine2Validator", "Route53HostedZoneConfiguration", "docs/release-notes/version-3-chapter-2"]
+
+
+def test_names_are_no_secrets_but_keys_are(spark):
+    rng = random.Random(3)
+    keys = ["".join(rng.choice(secret_scan.ALPHABETS["base64"][:62]) for _ in range(n)) for n in (20, 24, 32, 40) for _ in range(30)]
+    df = spark.createDataFrame([(i, f"x {v} y") for i, v in enumerate(NAMES + keys)], "doc_id long, text string")
+    found = {r.doc_id for r in secret_scan.find_secrets(df).collect() if any(s.kind == "random" for s in r.spans)}
+    assert len([i for i in found if i < len(NAMES)]) <= 1 and len([i for i in found if i >= len(NAMES)]) >= 110
+
+
+def test_name_p_and_cut_against_plain_sums(spark):
+    rng = random.Random(4)
+    values = NAMES + ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in range(20, 60)]
+    df = spark.createDataFrame([(v, "base64" if v in NAMES else "hex") for v in values], "value string, encoding string")
+    got = {r.value: r.q for r in secret_scan.name_p(df).collect()}
+
+    def kind(c):
+        return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    for v in values:
+        bits, last = 0.0, None
+        for c in v:
+            k = kind(c)
+            bits -= math.log2(secret_scan.FIRST[k] if last is None else secret_scan.NEXT[last][k])
+            share = secret_scan.LETTERS[ord(c.lower()) - 97] / sum(secret_scan.LETTERS) if k < 2 else .1 if k == 2 else 1 / secret_scan.MARKS
+            bits, last = bits - math.log2(share), k
+        want = min(1.0, 2 ** (len(v) * (6 if v in NAMES else 4) - bits))
+        assert math.isclose(got[v], want, rel_tol=1e-9)
+    # the step-up: rejected are the k smallest with the largest k whose p is at most fdr k / m
+    p = sorted(rng.choice((rng.random(), 10 ** -rng.uniform(0, 6))) for _ in range(200))
+    bins = [min(3000, math.floor(-100 * math.log10(x))) for x in p]
+    k = max((i for i, b in enumerate(bins, 1) if 10 ** (-b / 100) <= .05 * sum(x >= b for x in bins) / 200), default=0)
+    cands = spark.createDataFrame([("hex", 0, b) for b in bins], "encoding string, band int, bin int")
+    cut = secret_scan.discovered_from(cands).first()["cut"]
+    assert k and sum(b >= cut for b in bins) == sum(b >= bins[k - 1] for b in bins)
+
+
+def test_many_matches_in_one_text_take_little_time(spark):
+    rng = random.Random(5)
+    token = ["".join(rng.choice(secret_scan.ALPHABETS["base64"][:62]) for _ in range(24)) for _ in range(60_000)]
+    text = " \u00e9 ".join(f"token={x}" if i % 2 else x for i, x in enumerate(token))
+    start = time.time()
+    spans = secret_scan.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert time.time() - start < 60 and len(spans) > 55_000
+    assert all(text[s.start:s.end] == s.value for s in spans[::997])
