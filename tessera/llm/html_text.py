@@ -9,14 +9,22 @@ with the document's context, main text or not.
 It is trained here, on about TRAIN_PAGES pages (those with the smallest hashes)
 and variants of them that keep their labels: other containers around the
 article, wrappers around the page, sections and headers with open names inside,
-and boilerplate of many kinds put between. The first labels come from `teacher`,
+and boilerplate of many kinds put between. Collapsed
+text (hidden elements) is the labeller's to decide. The first labels come from `teacher`,
 which reads the path alone. Afterwards blocks under elements that are never main
 text (menus, forms, comments and so on) go whatever the labeller says, unless
-the element holds most of the article's text and so is a layout wrapper. What
-the paths call main the labeller must be sure to leave out; all other blocks,
-also those outside <article> and <main>, are its own decision.
-
-Edge cases: a null page is empty; a page without main text gives an empty
+the element holds most of the article's text and so is a layout wrapper. Running
+text where the paths have main text stays; of the rest (short lines, headings)
+the labeller must be sure to leave out what the paths call main; all other
+blocks, also those outside <article> and <main>, are its own decision.
+
+A line of text goes on over inline elements, icons, scripts, buttons and fields
+inside it; what an icon or script holds is left out, a button's words are the
+line's unless they are all of it.
+
+Edge cases: a null page is empty, a null id or url stays null, and only the kept
+columns and the html are read, so others can't clash; a block's label is
+a threshold on one number, so there are no ties; a page without main text gives an empty
 string; broken markup (open tags, cut entities, cut comments) is read to its
 end; long pages are read whole; repeated rows are answered each; without a page
 to train on, a small built-in one takes its place.
@@ -40,7 +48,7 @@ from tessera.llm.common import worker_state
 
 TRAIN_PAGES, VARIANTS, STEPS = 128, 3, 150
 PATH_DIMS, WORD_DIMS, NUMBERS, HIDDEN = 96, 16, 4, 16
-SURE, PROSE = 0.95, 60
+SURE, PROSE = 0.98, 60
 BATCH = 64
 
 # HTML's element classes.
@@ -49,7 +57,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror "
                    "mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd mspace semantics".split())
 RAW = frozenset("script style noscript iframe textarea title".split())
-# Left out when closed; one that is never closed counts as empty.
+# Stand inside a line of text and don't end it; what a button or label says is the line's, unless it is all of it.
+WITHIN = INLINE | frozenset("script style noscript button label input link meta source track param embed area".split())
+PRESSED = frozenset(["button", "label"])
+# Left out when closed, whatever line they stand in; one that is never closed counts as empty.
 SKIPPED = frozenset("template svg select object canvas video audio annotation annotation-xml".split())
 FOREIGN = frozenset(["svg", "math"])               # '/>' closes an element only here
 CLOSED_BY = {"p": frozenset("p div article section ul ol table h1 h2 h3 h4 h5 h6 blockquote pre form nav header footer "
@@ -70,7 +81,7 @@ NEVER_WORDS = frozenset(
 OPEN_WORDS = frozenset(
     "navigation menu header foot notice notices alert promotion advert advertisement advertising sponsor share sharing "
     "social related recommended respond reply form search login signup subscribe copyright cookies consent skip dialog "
-    "overlay hidden".split())
+    "overlay hidden widget banner".split())
 COMMENTS = frozenset("comment comments commentlist disqus".split())
 TEASER = COMMENTS | frozenset("reply respond replies teaser related recommended promo sponsored widget card preview".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -107,32 +118,38 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, frozenset]] = []
     serials: list[int] = []                         # of the stack's elements
-    closed: set[int] = set()                        # the skipped ones that had their end tag
+    ends: dict[str, dict[int, int]] = {}            # per skipped tag: where each element begins and ends
     parts: list[str] = []
-    links = linked = serial = 0
+    links = linked = pressed = presses = serial = 0
 
     def drop(i: int):
-        nonlocal links
+        nonlocal links, presses
         links -= sum(e[0] == "a" for e in stack[i:])
+        presses -= sum(e[0] in PRESSED for e in stack[i:])
         del stack[i:], serials[i:]
 
     def close_block():
-        nonlocal linked
+        nonlocal linked, pressed
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                shown = [i for i, e in enumerate(stack) if e[0] not in INLINE]
-                out.append(Block(text, tuple(stack[i] for i in shown), min(1.0, linked / len(text)), tuple(serials[i] for i in shown)))
+                shown = [i for i, e in enumerate(stack) if e[0] not in WITHIN]
+                path, own = tuple(stack[i] for i in shown), tuple(serials[i] for i in shown)
+                if pressed >= sum(map(len, text.split())):
+                    path, own = (*path, ("button", frozenset())), (*own, -len(out) - 1)
+                out.append(Block(text, path, min(1.0, linked / len(text)), own))
             parts.clear()
-        linked = 0
+        linked = pressed = 0
 
     def say(text: str):
-        nonlocal linked
+        nonlocal linked, pressed
         if text:
             text = html_lib.unescape(text) if "&" in text else text
             parts.append(text)
             if links:
                 linked += len(text)
+            if presses:
+                pressed += sum(map(len, text.split()))
 
     at, end = 0, len(page)
     while at < end:
@@ -146,13 +163,17 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             continue
         closing = m[1] or m[4]
-        if tag not in INLINE:
+        if tag in SKIPPED:
+            if tag not in ends:
+                ends[tag] = _elements(page, tag)
+            if not closing and (stop := ends[tag].get(m.start())):
+                at = stop
+            continue
+        if tag not in WITHIN:
             close_block()
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if tag in SKIPPED:
-                        closed.add(serials[i])
                     drop(i)
                     break
                 if tag in INLINE and stack[i][0] not in INLINE:
@@ -178,8 +199,21 @@ def blocks_of(page: str) -> list[Block]:
         stack.append((tag, _marks(attributes)))
         serials.append(serial)
         links += tag == "a"
+        presses += tag in PRESSED
     close_block()
-    return [b for b in out if closed.isdisjoint(b.serials)] if closed else out
+    return out
+
+
+def _elements(page: str, tag: str) -> dict[int, int]:
+    """Where the closed elements of a tag begin and end, nested ones too."""
+    open_, out = [], {}
+    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*?(/?)>", page, re.I):
+        if not m[1]:
+            if not (m[2] and tag in FOREIGN):
+                open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out
 
 
 # What an element says about its text: nothing, ask the labeller, never main
@@ -189,7 +223,7 @@ FREE, ASK, MOSTLY, ALWAYS = range(4)
 
 @lru_cache(1 << 14)
 def marked(tag: str, words: frozenset) -> int:
-    if tag in HARD or "(hidden)" in words:
+    if tag in HARD:
         return ALWAYS
     if tag in NEVER:
         return MOSTLY
@@ -198,7 +232,7 @@ def marked(tag: str, words: frozenset) -> int:
     if tag in MAIN:
         return FREE if words.isdisjoint(TEASER) else MOSTLY
     named = words & NEVER_WORDS
-    return MOSTLY if named - OPEN_WORDS else ASK if named or "hidden" in words else FREE
+    return MOSTLY if named - OPEN_WORDS else ASK if named or not words.isdisjoint(("hidden", "(hidden)")) else FREE
 
 
 def in_main(path: tuple) -> bool:
@@ -255,7 +289,7 @@ def teacher(blocks: list[Block]) -> np.ndarray:
     boilerplate element. Where only an open word is against it, headings and
     running text count as main."""
     worst, inside = judged(blocks)
-    prose = [len(b.text) * (1 - b.linked) >= PROSE or bool(b.path) and b.path[-1][0] in HEADINGS for b in blocks]
+    prose = [running(b) or bool(b.path) and b.path[-1][0] in HEADINGS for b in blocks]
     return np.array([i and (k == FREE or k == ASK and p) for i, k, p in zip(inside, worst, prose)], float)
 
 
@@ -420,6 +454,12 @@ def variants(blocks: list[Block], rng: np.random.Generator, n: int = VARIANTS) -
                     page[i] = b._replace(path=(*b.path[:-1], ("header", frozenset()), b.path[-1]), serials=(*b.serials[:-1], new, *b.serials[-1:]))
                 elif len(b.text) >= PROSE or b.path and b.path[-1][0] in HEADINGS:
                     page[i] = b._replace(path=(*b.path[:-1], section, *b.path[-1:]), serials=(*b.serials[:-1], new, *b.serials[-1:]))
+        if rng.random() < 0.4:                              # a site builder's layout: every block in an element of its own
+            built = frozenset([pick(loose), pick(loose), pick(["builder", "editor", "column", "text", "element"])])
+            for i, b in enumerate(page):
+                if marks[i] and (len(b.text) >= PROSE or b.path and b.path[-1][0] in HEADINGS):
+                    new -= 1
+                    page[i] = b._replace(path=(*b.path[:-1], ("div", built), *b.path[-1:]), serials=(*b.serials[:-1], new, *b.serials[-1:]))
         if rng.random() < 0.4:
             tag, words = pick(wrappers)
             new -= 1
@@ -456,10 +496,16 @@ def fit(pages: list[str]) -> dict:
 
 # ---- pages to text --------------------------------------------------------
 
+def running(b: Block) -> bool:
+    return len(b.text) * (1 - b.linked) >= PROSE
+
+
 def choose(blocks: list[Block], p: np.ndarray) -> list[bool]:
     """The labeller's choice, but for blocks in elements that are never main
-    text; it must be sure to leave out what the paths call main."""
-    return [k < MOSTLY and q > (1 - SURE if likely else 0.5) for k, q, likely in zip(judged(blocks)[0], p, teacher(blocks))]
+    text, and for running text where the paths have main text; of the rest it
+    must be sure to leave out what the paths call main."""
+    return [k < MOSTLY and (q > (1 - SURE if likely else 0.5) or bool(likely) and running(b))
+            for b, k, q, likely in zip(blocks, judged(blocks)[0], p, teacher(blocks))]
 
 
 def texts(model: dict, pages: list[str | None]) -> list[str]:

@@ -469,3 +469,27 @@ def test_many_matches_in_one_text_take_little_time(spark):
     spans = secret_scan.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
     assert time.time() - start < 60 and len(spans) > 55_000
     assert all(text[s.start:s.end] == s.value for s in spans[::997])
+
+
+LINE = "This is a sentence of running text that goes on for a good while, with some commas, and then ends"
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article><h1>T</h1>" + "".join(f"<div class='elementor-widget elementor-widget-text-editor'><p>{LINE} {i}</p></div>" for i in range(5))
+     + "</article>", ["T", *[f"{LINE} {i}" for i in range(5)]]),
+    (f"<article><h1>T</h1><p>{LINE}.</p><section id=banner-towns><p>{LINE} two.</p></section></article>", ["T", f"{LINE}.", f"{LINE} two."]),
+    (f"<article><h1>T</h1><p>{LINE}.</p><div hidden><p>{LINE} three.</p></div><div style='display:none'><p>{LINE} four.</p></div></article>",
+     ["T", f"{LINE}.", f"{LINE} three.", f"{LINE} four."]),
+    (f"<article><h1>T</h1><p>The first half <svg><path d='x'/><text>no</text></svg> and the second, {LINE}</p>"
+     f"<p>Press <button>start</button> to begin<script>var x</script>, {LINE}</p></article>",
+     ["T", f"The first half and the second, {LINE}", f"Press start to begin, {LINE}"])])
+def test_html_keeps_article_text(html_model, page, want):
+    page = f"<html><body><nav><a href=x>Home</a></nav>{page}<footer>Imprint</footer></body></html>"
+    assert html_text.texts(html_model, [page])[0].split("\n") == want
+
+
+def test_html_lines_go_on_over_inline_elements():
+    text = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert text("<p>a <select><option>x<option>y</select> b <input type=text> c<style>p{}</style></p>d") == ["a b c", "d"]
+    assert text("<p>a<svg><svg/><g/></svg>b <canvas>no</canvas>c") == ["ab c"]
+    assert html_text.blocks_of("<div><button>Share</button> <label>this</label></div>")[0].path[-1][0] == "button"
