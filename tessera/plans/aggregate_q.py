@@ -261,7 +261,8 @@ def q_agg_higher_order(spark, sf_dir):
     return e.select("vec_id", F.round(sq, 6).alias("sq_norm"), F.round(norm, 6).alias("norm"))
 
 
-@register("agg_observe")
+@register("agg_observe", """
+SELECT count(*) AS rows, max(l_quantity) AS max_qty, count(*) FILTER (WHERE l_discount > 0.05) AS kept FROM lineitem""")
 def q_agg_observe(spark, sf_dir):
     """Metrics gathered while the query runs, read after the action."""
     obs = Observation("lineitem_metrics")

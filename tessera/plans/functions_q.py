@@ -266,9 +266,11 @@ def q_fn_predicate(spark, sf_dir):
         F.regexp(n, F.lit("w[a-z]+t")).alias("regexp_"), F.startswith("p_brand", F.lit("Brand#1")).alias("starts"))
 
 
-@register("fn_xpath")
+@register("fn_xpath", """
+SELECT page_id, CAST(page_id AS INTEGER) AS id, url, CAST(length(html) AS BIGINT) AS n,
+       [CAST(page_id AS VARCHAR), url, CAST(length(html) AS VARCHAR)] AS texts FROM pages""")
 def q_fn_xpath(spark, sf_dir):
-    """XPath reads from an XML document made per page (row check)."""
+    """XPath reads from an XML document made per page."""
     p = t(spark, sf_dir, "pages")
     xml = F.concat(F.lit("<doc><id>"), F.col("page_id").cast("string"), F.lit("</id><url>"),
                    F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</url><n>"),

@@ -421,7 +421,7 @@ def q_cluster_streaming_kmeans(spark, sf_dir):
     stream = S.table_stream(spark, sf_dir, "embeddings", "vec_id LONG, embedding ARRAY<FLOAT>, label INT")
     state_path = scratch_path(spark, "skm-centroids")
     seed = t(spark, sf_dir, "embeddings").orderBy("vec_id").limit(k).select("vec_id", "embedding") \
-        .withColumn("cid", F.dense_rank().over(Window.orderBy("vec_id")))
+        .withColumn("cid", F.dense_rank().over(Window.orderBy("vec_id")))      # k rows
     seed.select("cid", F.col("embedding").alias("c"), F.lit(1.0).alias("w")).write.mode("overwrite") \
         .parquet(f"{state_path}/0")
 

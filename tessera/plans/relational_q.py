@@ -467,9 +467,9 @@ def q_sort_global(spark, sf_dir):
         .orderBy(F.col("o_orderpriority").asc_nulls_first(), F.col("o_totalprice").desc_nulls_last(), "o_orderkey")
 
 
-@register("sort_within")
+@register("sort_within", "SELECT * FROM orders")
 def q_sort_within(spark, sf_dir):
-    return t(spark, sf_dir, "orders").repartition(8, "o_custkey") \
+    return t(spark, sf_dir, "orders").repartition("o_custkey") \
         .sortWithinPartitions("o_custkey", F.desc("o_orderdate"))
 
 

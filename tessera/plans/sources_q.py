@@ -197,7 +197,7 @@ def q_sink_insert_into(spark, sf_dir):
     return spark.table(name)
 
 
-@register("sink_v2")
+@register("sink_v2", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def q_sink_v2(spark, sf_dir):
     """DataFrameWriterV2 create, with a plain partition column, on the session
     catalog. Its append/overwrite/replace forms and partition transforms need

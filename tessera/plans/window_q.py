@@ -140,7 +140,10 @@ def q_win_expanding(spark, sf_dir):
     return out.select("event_id", "exp_count", r("exp_sum"), r("exp_mean"), "exp_max", r("exp_std"))
 
 
-@register("win_ewm")
+@register("win_ewm", """
+WITH r AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
+SELECT a.event_id, a.user_id, round(sum(b.value * pow(0.7, a.n - b.n)) / sum(pow(0.7, a.n - b.n)), 6) AS ewm
+FROM r a JOIN r b ON b.user_id = a.user_id AND b.n <= a.n GROUP BY 1, 2""")
 def q_win_ewm(spark, sf_dir):
     out = TS.ewm_mean(t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", alpha=0.3)
     return out.select("event_id", "user_id", r("ewm"))
