@@ -51,7 +51,7 @@ def q_fp_itemsets(spark, sf_dir):
     return model.freqItemsets.select(F.array_sort("items").alias("items"), "freq")
 
 
-RULE_MIN_SUPPORT, RULE_MIN_CONFIDENCE = 0.01, 0.2
+RULE_MIN_SUPPORT, RULE_MIN_CONFIDENCE = 0.01, 0.15
 
 
 @register("fp_rules", f"""
