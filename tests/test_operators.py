@@ -255,10 +255,13 @@ def test_item_sets_of_any_size(spark, tmp_path):
 
 def test_sequences_of_any_length(spark, tmp_path):
     from tessera.plans.ml_q import q_fp_sequences
-    sf = _table(spark, tmp_path, "events", [(u, i, u * 9 + i, t) for u in range(2) for i, t in enumerate("abcde")],
-                "user_id long, ts long, event_id long, event_type string")
+    import datetime as dt
+    day = dt.datetime(2024, 1, 1)
+    rows = [(u, day + dt.timedelta(hours=i), u * 9 + i, t) for u in range(2) for i, t in enumerate("abcde")]
+    rows.append((0, day + dt.timedelta(hours=13), 99, "f"))         # 9 hours later: a session of its own
+    sf = _table(spark, tmp_path, "events", rows, "user_id long, ts timestamp_ntz, event_id long, event_type string")
     got = {"".join(x[0] for x in r.sequence): r.freq for r in q_fp_sequences(spark, sf).collect()}
-    assert len(got) == 31 and got["abcde"] == 2
+    assert len(got) == 32 and got["abcde"] == 2 and got["f"] == 1
 
 
 def test_vectorizers_keep_all_terms(spark, tmp_path):
