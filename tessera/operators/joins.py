@@ -1,7 +1,7 @@
 """Join forms Spark has no single operator for, built from equi-joins and windows.
 
 * ``broadcast_if_small``: a broadcast hint only behind a size check.
-* ``asof_join``: nearest earlier right row per key within a tolerance, by
+* ``asof_join``: the right row last before, first after or nearest per key within a tolerance, by
   (key, time bucket) windows plus a carry-in from the previous bucket: no
   pair is ever emitted and a hot key is spread over its buckets.
 * ``interval_join``: pairs of one key within a time gap, bucketed so the
@@ -35,18 +35,33 @@ def _epoch_us(ts: Column) -> Column:
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str,
-              tolerance_s: int, right_cols: list[str], prefix: str = "r_") -> DataFrame:
+              tolerance_s: int, right_cols: list[str], prefix: str = "r_",
+              direction: str = "backward") -> DataFrame:
     """For every left row, the latest right row with the same key and
     right_ts <= left_ts <= right_ts + tolerance. Left rows without one keep
-    null right columns.
+    null right columns. ``forward`` takes the first right row at or after the
+    left one instead (the same on mirrored time), ``nearest`` the closer of
+    both, the earlier one at equal distance.
 
     The tolerance is the bucket width, so the answer lies in the left row's
     bucket or, failing that, is the last right row of the previous bucket.
     """
+    if direction not in ("backward", "forward", "nearest"):
+        raise ValueError(f"direction: {direction}")
     width = tolerance_s * 1_000_000
     rcols = [right_ts, *[c for c in right_cols if c != right_ts]]
-    lt = _epoch_us(F.col(left_ts))
-    rt = _epoch_us(F.col(right_ts))
+    if direction == "nearest":
+        both = left
+        for p, d in (("_before_", "backward"), ("_after_", "forward")):
+            both = asof_join(both, right, by, left_ts, right_ts, tolerance_s, right_cols, p, d)
+        at = _epoch_us(F.col(left_ts))
+        since, until = at - _epoch_us(F.col("_before_" + right_ts)), _epoch_us(F.col("_after_" + right_ts)) - at
+        earlier = until.isNull() | (since <= until)
+        return both.select(*left.columns, *[
+            F.when(earlier, F.col("_before_" + c)).otherwise(F.col("_after_" + c)).alias(prefix + c) for c in rcols])
+    sign = -1 if direction == "forward" else 1
+    lt = _epoch_us(F.col(left_ts)) * sign
+    rt = _epoch_us(F.col(right_ts)) * sign
     lft = left.withColumns({"_t": lt, "_side": F.lit(1)})
     rgt = right.select(by, *rcols).withColumns({"_t": rt, "_side": F.lit(0)})
     lft = lft.withColumn("_b", F.floor(F.col("_t") / width))

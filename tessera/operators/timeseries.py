@@ -43,6 +43,33 @@ def expanding(df: DataFrame, by: list[str], order: list, value: str, min_periods
     })
 
 
+def frame_shape(df: DataFrame, by: list[str], order: list, value: str, window: int | None,
+                min_periods: int = 4, quantiles: dict[str, float] | None = None,
+                prefix: str = "roll_") -> DataFrame:
+    """Minimum, variance, skewness and excess kurtosis (both corrected for the
+    sample size) of the last ``window`` rows, or of all rows so far when it is
+    None, and interpolated quantiles of the former; null below min_periods
+    known values, skewness below 3, kurtosis below 4.
+
+    A quantile buffers its frame, so it needs a window: a growing frame would
+    be sorted anew at every row.
+    """
+    if window is None and quantiles:
+        raise ValueError("quantiles need a window")
+    first = Window.unboundedPreceding if window is None else -(window - 1)
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(first, 0)
+    v, n = F.col(value), F.count(value).over(w)
+    g1, g2 = F.skewness(v).over(w), F.kurtosis(v).over(w)
+    shape = {
+        "min": F.min(v).over(w),
+        "var": F.var_samp(v).over(w),
+        "skew": F.when(n >= 3, g1 * F.sqrt(n * (n - 1)) / (n - 2)),
+        "kurt": F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)),
+        **{name: F.percentile(v, p).over(w) for name, p in (quantiles or {}).items()},
+    }
+    return df.withColumns({prefix + k: F.when(n >= min_periods, c) for k, c in shape.items()})
+
+
 def ewm_mean(df: DataFrame, by: list[str], order: list, value: str, alpha: float,
              out: str = "ewm") -> DataFrame:
     """Exponentially weighted mean with pandas' adjust=True weights (1-alpha)^age

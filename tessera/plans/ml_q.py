@@ -20,6 +20,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import matrix as M
+from tessera.operators.evaluate import ranking_metrics
+from tessera.operators.iterate import write_table
+from tessera.operators.ranks import spearman
 from tessera.plans.registry import register
 from tessera.sources.tables import read
 
@@ -340,12 +344,43 @@ WITH e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding)
 SELECT a.i AS i, b.i AS j, round(sum(CAST(a.x AS DOUBLE) * CAST(b.x AS DOUBLE)), 6) AS g
 FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY 1, 2""")
 def q_feat_pca_svd(spark, sf_dir):
-    """Gram matrix A^T A of the embeddings as a distributed join + sum
-    (the CoordinateMatrix product); PCA itself is in feat_pca."""
-    e = t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    a, b = e.alias("a"), e.alias("b")
-    return a.join(b, "vec_id").groupBy(F.col("a.i").cast("long").alias("i"), F.col("b.i").cast("long").alias("j")) \
-        .agg(F.round(F.sum(F.col("a.x").cast("double") * F.col("b.x").cast("double")), 6).alias("g"))
+    """Gram matrix A^T A of the embeddings, added up per task; PCA itself is in
+    feat_pca, singular values in feat_svd."""
+    return M.gram(t(spark, sf_dir, "embeddings"), "embedding").select("i", "j", F.round("g", 6).alias("g"))
+
+
+@register("feat_svd")
+def q_feat_svd(spark, sf_dir):
+    """All singular values of the embeddings, falling."""
+    s, _, _ = M.svd(t(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return spark.createDataFrame([(k + 1, float(x)) for k, x in enumerate(s)], "component int, sigma double")
+
+
+@register("feat_svd_facts", """
+SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 5) AS energy,
+       true AS orthonormal
+FROM embeddings WHERE embedding IS NOT NULL""")
+def q_feat_svd_facts(spark, sf_dir):
+    """Each vector's squared length from its left vector and all singular
+    values; whether the left vectors are orthonormal (U^T U is 1 to 1e-6)."""
+    s, _, u = M.svd(t(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    u = write_table(u, "svd-left")
+    off = M.gram(u, "u").agg(F.max(F.abs(F.col("g") - (F.col("i") == F.col("j")).cast("double"))).alias("off"))
+    squares = F.array(*[F.lit(float(x * x)) for x in s])
+    energy = F.aggregate(F.zip_with("u", squares, lambda a, q: a * a * q), F.lit(0.0), lambda acc, x: acc + x)
+    return u.select("vec_id", F.round(energy, 5).alias("energy"),
+                    F.lit(off.select(F.col("off") < 1e-6).first()[0]).alias("orthonormal"))
+
+
+@register("feat_column_similarities", """
+WITH e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings),
+g AS (SELECT a.i AS i, b.i AS j, sum(CAST(a.x AS DOUBLE) * CAST(b.x AS DOUBLE)) AS g
+      FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY 1, 2)
+SELECT g.i, g.j, round(g.g / sqrt(a.g * b.g), 6) AS sim FROM g JOIN g a ON a.i = g.i AND a.j = g.i
+JOIN g b ON b.i = g.j AND b.j = g.j WHERE g.i < g.j""")
+def q_feat_column_similarities(spark, sf_dir):
+    return M.column_similarities(t(spark, sf_dir, "embeddings"), "embedding") \
+        .select("i", "j", F.round("sim", 6).alias("sim"))
 
 
 @register("feat_pca")
@@ -368,6 +403,20 @@ def q_stat_corr_test(spark, sf_dir):
     return spark.createDataFrame(data, "i int, j int, r double")
 
 
+def _spearman_sql(a, b):
+    ranked = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r{k}"
+                       for k, c in enumerate((a, b)))
+    return f"SELECT '{a}' AS a, '{b}' AS b, round(corr(r0, r1), 6) AS r FROM (SELECT {ranked} FROM lineitem)"
+
+
+SPEARMAN_PAIRS = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")]
+
+
+@register("stat_corr_spearman", " UNION ALL ".join(_spearman_sql(a, b) for a, b in SPEARMAN_PAIRS))
+def q_stat_corr_spearman(spark, sf_dir):
+    return spearman(t(spark, sf_dir, "lineitem"), SPEARMAN_PAIRS).select("a", "b", F.round("r", 6).alias("r"))
+
+
 @register("stat_tests")
 def q_stat_tests(spark, sf_dir):
     """Chi-square (label vs features), Kolmogorov-Smirnov and summarizer."""
@@ -519,6 +568,94 @@ def q_regress_models_other(spark, sf_dir):
     return spark.createDataFrame(rows, "model string, rmse double")
 
 
+@register("eval_ranking", """
+WITH popular AS (SELECT l_partkey, row_number() OVER (ORDER BY count(*) DESC, l_partkey) AS rank
+                 FROM lineitem GROUP BY 1 QUALIFY rank <= 10),
+truth AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+sizes AS (SELECT o_custkey, count(*) AS size FROM truth GROUP BY 1),
+hits AS (SELECT o_custkey, rank, row_number() OVER (PARTITION BY o_custkey ORDER BY rank) AS nth
+         FROM truth JOIN popular USING (l_partkey)),
+found AS (SELECT o_custkey, count(*) AS hits, sum(nth * 1.0::DOUBLE / rank) AS ap, sum(1 / log2(rank + 1)) AS dcg FROM hits GROUP BY 1),
+ideal AS (SELECT n, sum(1 / log2(k + 1)) AS best FROM range(1, 11) a(n), range(1, 11) b(k) WHERE k <= n GROUP BY 1)
+SELECT count(*) AS queries, round(avg(coalesce(hits, 0) / 10.0::DOUBLE), 6) AS precision_at_k,
+       round(avg(coalesce(hits, 0) * 1.0::DOUBLE / size), 6) AS recall_at_k, round(avg(coalesce(ap, 0) / size), 6) AS map_at_k,
+       round(avg(coalesce(dcg, 0) / best), 6) AS ndcg_at_k
+FROM sizes LEFT JOIN found USING (o_custkey) JOIN ideal ON n = least(size, 10)""")
+def q_eval_ranking(spark, sf_dir):
+    """The ten most bought parts offered to every customer, against what the customer bought."""
+    li = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    top = li.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l_partkey").limit(10)
+    offer = F.lit([r.l_partkey for r in top.collect()])      # ten rows
+    truth = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey") \
+        .join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey")
+    offered = truth.select("o_custkey").distinct().select("o_custkey", F.posexplode(offer).alias("at", "l_partkey")) \
+        .withColumn("rank", F.col("at") + 1)
+    m = ranking_metrics(offered, truth, "o_custkey", "l_partkey", "rank", 10)
+    return m.select("queries", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
+
+
+_CLASS = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
+_GUESS = "CASE WHEN l_quantity <= 17 THEN 0 WHEN l_quantity <= 34 THEN 1 ELSE 2 END"
+
+
+@register("eval_multiclass", f"""
+WITH p AS (SELECT {_CLASS} AS label, {_GUESS} AS guess FROM lineitem),
+k AS (SELECT label, count(*) AS n, sum((label = guess)::INT) AS tp FROM p GROUP BY 1),
+q AS (SELECT guess, count(*) AS m FROM p GROUP BY 1),
+c AS (SELECT n::DOUBLE AS n, tp, tp::DOUBLE / n AS rec, CASE WHEN m > 0 THEN tp::DOUBLE / m ELSE 0 END AS prec
+      FROM k LEFT JOIN q ON label = guess)
+SELECT round(sum(tp) / sum(n), 6) AS accuracy, round(sum(n * prec) / sum(n), 6) AS precision,
+       round(sum(n * rec) / sum(n), 6) AS recall,
+       round(sum(n * CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END) / sum(n), 6) AS f1 FROM c""")
+def q_eval_multiclass(spark, sf_dir):
+    """Weighted metrics of guessing an item's return flag by its quantity."""
+    p = t(spark, sf_dir, "lineitem").select(F.expr(_CLASS).cast("double").alias("label"),
+                                            F.expr(_GUESS).cast("double").alias("prediction"))
+    names = {"accuracy": "accuracy", "precision": "weightedPrecision", "recall": "weightedRecall", "f1": "f1"}
+    row = [round(EV.MulticlassClassificationEvaluator(metricName=m).evaluate(p), 6) for m in names.values()]
+    return spark.createDataFrame([row], ", ".join(f"{n} double" for n in names))
+
+
+@register("eval_multilabel", f"""
+WITH a AS (SELECT DISTINCT l_orderkey AS o, {_CLASS} AS c FROM lineitem),
+b AS (SELECT DISTINCT l_orderkey AS o, {_GUESS} AS c FROM lineitem),
+d AS (SELECT coalesce(a.o, b.o) AS o, count(a.c) AS na, count(b.c) AS nb, sum((a.c = b.c)::INT) AS hit
+      FROM a FULL JOIN b ON a.o = b.o AND a.c = b.c GROUP BY 1),
+e AS (SELECT na::DOUBLE AS na, nb::DOUBLE AS nb, coalesce(hit, 0)::DOUBLE AS hit FROM d)
+SELECT round(avg(hit / (na + nb - hit)), 6) AS accuracy, round(avg((na = nb AND hit = na)::INT), 6) AS subset_accuracy,
+       round(sum(na + nb - 2 * hit) / (count(*) * 3), 6) AS hamming_loss, round(avg(hit / nb), 6) AS precision,
+       round(avg(hit / na), 6) AS recall, round(avg(2 * hit / (na + nb)), 6) AS f1 FROM e""")
+def q_eval_multilabel(spark, sf_dir):
+    """Sets of at most three classes per order: its items' flags against the guesses."""
+    sets = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.collect_set(F.expr(_CLASS).cast("double")).alias("label"),
+        F.collect_set(F.expr(_GUESS).cast("double")).alias("prediction"))
+    names = {"accuracy": "accuracy", "subset_accuracy": "subsetAccuracy", "hamming_loss": "hammingLoss",
+             "precision": "precision", "recall": "recall", "f1": "f1Measure"}
+    row = [round(EV.MultilabelClassificationEvaluator(metricName=m).evaluate(sets), 6) for m in names.values()]
+    return spark.createDataFrame([row], ", ".join(f"{n} double" for n in names))
+
+
+@register("eval_silhouette", """
+WITH p AS (SELECT vec_id, label, embedding FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM p),
+sq AS (SELECT vec_id, label, sum(x * x) AS q FROM e GROUP BY 1, 2),
+cs AS (SELECT label, i, sum(x) AS y FROM e GROUP BY 1, 2),
+cn AS (SELECT label, count(*)::DOUBLE AS n, sum(q) AS psi FROM sq GROUP BY 1),
+dots AS (SELECT e.vec_id, cs.label AS c, sum(x * y) AS dot FROM e JOIN cs USING (i) GROUP BY 1, 2),
+ds AS (SELECT sq.vec_id, sq.label, c, cn.n, q + psi / n - 2 * dot / n AS d
+       FROM dots JOIN sq USING (vec_id) JOIN cn ON cn.label = c),
+ab AS (SELECT vec_id, max(CASE WHEN c = label THEN n END) AS n,
+              max(CASE WHEN c = label AND n > 1 THEN d * n / (n - 1) END) AS a,
+              min(CASE WHEN c <> label THEN d END) AS b FROM ds GROUP BY 1)
+SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab""")
+def q_eval_silhouette(spark, sf_dir):
+    """Silhouette (squared Euclidean) of the embeddings grouped by label."""
+    p = t(spark, sf_dir, "embeddings").where("label IS NOT NULL AND embedding IS NOT NULL") \
+        .select(array_to_vector("embedding").alias("features"), F.col("label").alias("prediction"))
+    return spark.createDataFrame([(round(EV.ClusteringEvaluator().evaluate(p), 6),)], "silhouette double")
+
+
 @register("eval_tune", """
 WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)
 SELECT round(sqrt(avg(pow(l_extendedprice - (a + b * l_quantity), 2))), 4) AS rmse,

@@ -415,6 +415,45 @@ def q_join_asof(spark, sf_dir):
     return out.select("event_id", "r_event_id", "r_ts")
 
 
+_ASOF_BEST = f"""
+  SELECT p.event_id, p.ts, {{best}} FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+  ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts {{op}} v.ts"""
+
+
+def _asof_side(op, gap):
+    ok = f"{gap} <= {ASOF_TOL * 1000000}"
+    return _ASOF_BEST.format(op=op, best=f"CASE WHEN {ok} THEN v.event_id END AS r_event_id, "
+                                         f"CASE WHEN {ok} THEN v.ts END AS r_ts")
+
+
+_AFTER = _asof_side("<=", "epoch_us(v.ts) - epoch_us(p.ts)")
+_BEFORE = _asof_side(">=", "epoch_us(p.ts) - epoch_us(v.ts)")
+
+
+def _purchases_views(spark, sf_dir, direction):
+    ev = t(spark, sf_dir, "events")
+    p = ev.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    v = ev.where("event_type = 'view'").select("event_id", "user_id", "ts")
+    out = J.asof_join(p, v, "user_id", "ts", "ts", ASOF_TOL, ["event_id"], direction=direction)
+    return out.select("event_id", "r_event_id", "r_ts")
+
+
+@register("join_asof_forward", f"SELECT event_id, r_event_id, r_ts FROM ({_AFTER})")
+def q_join_asof_forward(spark, sf_dir):
+    """Each purchase with the user's first view at or after it, at most 6 hours later."""
+    return _purchases_views(spark, sf_dir, "forward")
+
+
+@register("join_asof_nearest", f"""
+SELECT event_id, CASE WHEN early THEN b_id ELSE a_id END AS r_event_id, CASE WHEN early THEN b_ts ELSE a_ts END AS r_ts
+FROM (SELECT b.event_id, b.r_event_id AS b_id, b.r_ts AS b_ts, a.r_event_id AS a_id, a.r_ts AS a_ts,
+             a.r_ts IS NULL OR coalesce(epoch_us(b.ts) - epoch_us(b.r_ts) <= epoch_us(a.r_ts) - epoch_us(b.ts), false) AS early
+      FROM ({_BEFORE}) b JOIN ({_AFTER}) a ON a.event_id = b.event_id)""")
+def q_join_asof_nearest(spark, sf_dir):
+    """Each purchase with the user's nearest view within 6 hours, the earlier one at equal distance."""
+    return _purchases_views(spark, sf_dir, "nearest")
+
+
 @register("join_interval", """
 SELECT p.event_id AS event_id_l, c.event_id AS event_id_r
 FROM (SELECT * FROM events WHERE event_type = 'purchase') p

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import timeseries as TS
 from tessera.operators.aggregates import values_of
+from tessera.operators.ranks import exact_percentiles
 from tessera.plans.registry import register
 from tessera.sources.tables import read
 
@@ -125,6 +126,7 @@ def q_win_rolling(spark, sf_dir):
                       r("roll_std"), r("roll_var"))
 
 
+_R9 = f"{_EV_W} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW"
 _EXP = f"{_EV_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
@@ -140,6 +142,33 @@ def q_win_expanding(spark, sf_dir):
     return out.select("event_id", "exp_count", r("exp_sum"), r("exp_mean"), "exp_max", r("exp_std"))
 
 
+def _gated(frame, n, least, expr):
+    return f"CASE WHEN count(value) OVER ({frame}) >= {n} THEN {expr} END AS {least}"
+
+
+@register("win_rolling_shape", f"""
+SELECT event_id, {_gated(_R9, 5, "roll_q25", f"round(quantile_cont(value, 0.25) OVER ({_R9}), 6)")},
+       {_gated(_R9, 5, "roll_median", f"round(quantile_cont(value, 0.5) OVER ({_R9}), 6)")},
+       {_gated(_R9, 5, "roll_skew", f"round(skewness(value) OVER ({_R9}), 5)")},
+       {_gated(_R9, 5, "roll_kurt", f"round(kurtosis(value) OVER ({_R9}), 5)")} FROM events""")
+def q_win_rolling_shape(spark, sf_dir):
+    """Quantiles, skewness and excess kurtosis (unbiased) of each user's last nine values."""
+    out = TS.frame_shape(t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 9, 5,
+                         {"q25": 0.25, "median": 0.5})
+    return out.select("event_id", r("roll_q25"), r("roll_median"), r("roll_skew", 5), r("roll_kurt", 5))
+
+
+@register("win_expanding_shape", f"""
+SELECT event_id, {_gated(_EXP, 4, "exp_min", f"min(value) OVER ({_EXP})")},
+       {_gated(_EXP, 4, "exp_var", f"round(var_samp(value) OVER ({_EXP}), 5)")},
+       {_gated(_EXP, 4, "exp_skew", f"round(skewness(value) OVER ({_EXP}), 5)")},
+       {_gated(_EXP, 4, "exp_kurt", f"round(kurtosis(value) OVER ({_EXP}), 5)")} FROM events""")
+def q_win_expanding_shape(spark, sf_dir):
+    """Minimum, variance, skewness and excess kurtosis of each user's values so far."""
+    out = TS.frame_shape(t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", None, 4, prefix="exp_")
+    return out.select("event_id", "exp_min", r("exp_var", 5), r("exp_skew", 5), r("exp_kurt", 5))
+
+
 @register("win_ewm", """
 WITH r AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
 SELECT a.event_id, a.user_id, round(sum(b.value * pow(0.7, a.n - b.n)) / sum(pow(0.7, a.n - b.n)), 6) AS ewm
@@ -224,12 +253,13 @@ FROM lineitem l JOIN m ON m.l_returnflag = l.l_returnflag GROUP BY 1""")
 def q_group_robust_stats(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem")
     mu = li.groupBy("l_returnflag").agg(F.avg("l_quantity").alias("mu"))
-    return li.join(mu, "l_returnflag").groupBy("l_returnflag").agg(
+    q75 = exact_percentiles(li, ["l_returnflag"], "l_quantity", {"q": 0.75})
+    stats = li.join(mu, "l_returnflag").groupBy("l_returnflag").agg(
         F.round(F.avg(F.abs(F.col("l_quantity") - F.col("mu"))), 6).alias("mad"),
         F.round(F.stddev_samp("l_quantity") / F.sqrt(F.count(F.lit(1))), 6).alias("sem"),
-        F.round(F.percentile("l_quantity", 0.75), 6).alias("q75"),
         F.count_distinct("l_quantity").alias("nunique"),
         F.round(F.product(1 + F.col("l_discount") / 100), 6).alias("prod"))
+    return stats.join(q75, "l_returnflag").withColumn("q75", F.round("q", 6)).drop("q")
 
 
 @register("table_pivot_dummies", """
