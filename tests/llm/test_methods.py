@@ -180,8 +180,8 @@ def test_licenses_match_brute_force(spark):
     rng = random.Random(8)
     filler = ["zeb", "qua", "the", "of", "software", "license"]
     texts = ["see Under  the-MIT license; cc BY nc. CC by Nc x", "apache license version 2 under the mit licenses", ""]
-    for t in licenses.TEMPLATES.values():
-        words = t.split()
+    for t in licenses.TEMPLATES:
+        words = t.text.split()
         for part in (0.75, 0.85, 1.0):
             kept = words[:math.ceil(part * len(words))]
             pad = [rng.choice(filler) for _ in range(rng.randint(0, 400))]
@@ -197,13 +197,33 @@ def test_licenses_match_brute_force(spark):
             labels |= {label} if at else set()
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == \
             (len(w), len(places), min(places, default=None), max(places, default=None), sorted(labels))
-        for label, t in licenses.TEMPLATES.items():
-            want = set(licenses.tokens_of(t))
-            if any(len(want & set(w[s:s + 256])) >= 0.8 * len(want) for s in range(0, max(1, len(w)), 128)):
-                labels.add(label)
+        for s in range(0, max(1, len(w)), 128):
+            block, best = set(w[s:s + 256]), {}
+            for n, t in enumerate(licenses.TEMPLATES):
+                want = set(licenses.tokens_of(t.text))
+                if len(want & block) >= 0.8 * len(want) and set(t.required) <= block:
+                    match = (len(want & block), len(want & block) / len(want), t.label)
+                    best[t.family or n] = max(match, best.get(t.family or n, match))
+            labels |= {m[2] for m in best.values()}
         assert r.labels == sorted(labels)
 
 
+def test_licenses_of_one_family(spark):
+    """Every notice in running text gets its own label only; so do other wordings and neighbours."""
+    texts = [(t.label, f"copyright 2020 the authors {t.text} and so on with the rest of the file") for t in licenses.TEMPLATES]
+    texts += [("cc-by", "This work is licensed under a Creative Commons Attribution 3.0 International License"),
+              ("cc-by-sa", "this article is licensed under a creative commons attribution sharealike 4.0 international license"),
+              ("agpl", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+                       "as published by the Free Software Foundation, either version 3, or any later version of the License"),
+              ("", "This work is licensed under a plain international license 4.0 by its author with attribution"),
+              ("", "redistribute the general public software under terms of a foundation as published by any program")]
+    both = licenses.TEMPLATES[0].text + " " + licenses.TEMPLATES[5].text
+    texts.append(("lgpl,mit", both))
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: ",".join(r.labels) for r in licenses.scan_licenses(df).collect()}
+    assert [got[k] for k in range(len(texts))] == [w for w, _ in texts]
+
+
 def test_forward_sums_all_segmentations():
     pieces = [langid.START, langid.START + "a", "a", "b", "ab", "aba", langid.START + "ab"]
     keys = langid._hash_pieces(pieces)
