@@ -47,7 +47,7 @@ PRODUCTS_CSV_SCHEMA = T.StructType([
 
 EDGE_COLUMNS = ["window_id", "i", "j", "cooc_count", "count_i", "count_j", "norm_score", "npmi"]
 
-DEFAULT_HOT_BASKET_ITEMS = 4096
+DEFAULT_HOT_BASKET_ITEMS = 512
 
 
 def _with_id_type(schema: T.StructType, id_type: str) -> T.StructType:
@@ -116,10 +116,11 @@ def basket_pairs(items: DataFrame, hot_basket_items: int = DEFAULT_HOT_BASKET_IT
     * baskets of at most ``hot_basket_items`` items (a proven bound) are
       collected and their pairs generated in place with array functions,
       with no further shuffle;
-    * larger baskets go to a salted self-join: the right side is cut into
-      ``ceil(n / hot_basket_items)`` slices by item hash, the left side is
-      copied once per slice and the join key includes the slice, so one hot
-      basket's quadratic work spreads over many tasks.
+    * larger baskets go to a grid: both sides are cut into
+      ``ceil(n / hot_basket_items)`` slices by item hash, and a pair meets in
+      the one cell (slice of i, slice of j). The join key is the cell, so a
+      task holds about ``hot_basket_items`` items of either side however large
+      the basket is; every item is copied once per slice.
     """
     keys = ["window_id", "order_id"]
     sizes = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -131,13 +132,11 @@ def basket_pairs(items: DataFrame, hot_basket_items: int = DEFAULT_HOT_BASKET_IT
         .select(*keys, F.col("_p.i").alias("i"), F.col("_p.j").alias("j"))
     big = sized.where(F.col("_n") > hot_basket_items) \
         .withColumn("_slices", F.ceil(F.col("_n") / F.lit(hot_basket_items)).cast("int"))
-    left = big.select(*keys, F.col("product_id").alias("i"),
-                      F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_salt"))
-    right = big.select(*keys, F.col("product_id").alias("j"),
-                       F.pmod(F.xxhash64("product_id"), F.col("_slices")).cast("int").alias("_salt"))
-    skeys = [*keys, "_salt"]
-    big_pairs = left.repartition(*skeys).join(right.repartition(*skeys), skeys) \
-        .where(F.col("i") < F.col("j")).select(*keys, "i", "j")
+    own = F.pmod(F.xxhash64("product_id"), F.col("_slices")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))
+    left = big.select(*keys, F.col("product_id").alias("i"), own.alias("_row"), others.alias("_column"))
+    right = big.select(*keys, F.col("product_id").alias("j"), own.alias("_column"), others.alias("_row"))
+    big_pairs = left.join(right, [*keys, "_row", "_column"]).where(F.col("i") < F.col("j")).select(*keys, "i", "j")
     return small_pairs.unionByName(big_pairs)
 
 

@@ -282,6 +282,72 @@ def q_stream_progress(spark, sf_dir):
     return spark.createDataFrame(rows, "batch_id LONG, num_input_rows LONG")
 
 
+@register("stream_listener", """
+SELECT 'started' AS callback, 1 AS n UNION ALL SELECT 'rows', count(*) FROM events
+UNION ALL SELECT 'terminated', 1""")
+def q_stream_listener(spark, sf_dir):
+    """What a StreamingQueryListener is told of one query over the events."""
+    import uuid
+    heard = S.Counts(f"listened-{uuid.uuid4().hex[:8]}")
+    spark.streams.addListener(heard)
+    try:
+        S.run(S.events_stream(spark, sf_dir).select("event_id"), "append", "listener", query_name=heard.name)
+        heard.over.wait(60)      # callbacks come after the query has ended
+    finally:
+        spark.streams.removeListener(heard)
+    return spark.createDataFrame([("started", heard.started), ("rows", heard.rows), ("terminated", heard.ended)],
+                                 "callback string, n long")
+
+
+@register("stream_interval", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def q_stream_interval(spark, sf_dir):
+    """A query with an interval trigger, stopped when it has read everything;
+    its sink is idempotent by epoch."""
+    out = scratch_path(spark, "interval-out")
+    ev = S.events_stream(spark, sf_dir).select("event_id", "event_type", "value")
+    q = ev.writeStream.option("checkpointLocation", scratch_path(spark, "interval-ckpt")) \
+        .foreachBatch(lambda df, epoch: S.write_epoch(df, epoch, out)).trigger(processingTime="1 second").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.schema(ev.schema).parquet(out).groupBy("event_type") \
+        .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@register("stream_append_windows", """
+SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
+def q_stream_append_windows(spark, sf_dir):
+    """Hourly counts in append mode while the events come in four pieces: the
+    watermark moves, closed windows are written once and leave the state."""
+    ev = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+
+    def hourly(stream):
+        return stream.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour"), "event_type") \
+            .agg(F.count(F.lit(1)).alias("n"))
+    out = S.run_slices(S.time_slices(ev, "ts", 4), hourly, "append-windows")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@register("stream_append_sessions", f"""
+WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
+                   OR epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= {GAP_S * 1000000}
+                   THEN 1 ELSE 0 END AS brk FROM events),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e)
+SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, sid
+HAVING max(ts) + INTERVAL {GAP_S} SECOND <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def q_stream_append_sessions(spark, sf_dir):
+    """Users' sessions in append mode over four pieces; sessions go on across them."""
+    ev = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+
+    def sessions(stream):
+        return stream.withWatermark("ts", "10 minutes").groupBy(F.session_window("ts", f"{GAP_S} seconds"), "user_id") \
+            .agg(F.count(F.lit(1)).alias("n"))
+    out = S.run_slices(S.time_slices(ev, "ts", 4), sessions, "append-sessions")
+    return out.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
 @register("stream_union", """
 SELECT event_id, event_type FROM events WHERE event_type IN ('purchase', 'view')""")
 def q_stream_union(spark, sf_dir):

@@ -9,10 +9,13 @@ latest version of each key can be selected when reading.
 
 from __future__ import annotations
 
+import threading
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tessera.session import scratch_path
@@ -65,6 +68,70 @@ def run(sdf: DataFrame, mode: str, tag: str, query_name: str | None = None, key:
     return back.drop("_epoch") if "_epoch" in back.columns else back
 
 
+def write_epoch(df: DataFrame, epoch: int, out: str) -> None:
+    """foreachBatch sink: an epoch owns one folder, so a replayed epoch
+    replaces its rows and nothing is written twice."""
+    df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+
+def time_slices(df: DataFrame, ts: str, n: int) -> list[DataFrame]:
+    """The rows of ``n`` equal spans of time, in order (every row in one)."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    first, last = df.agg(F.min(us), F.max(us)).first()      # one row
+    if first is None:
+        return [df]
+    cuts = [first + (last - first) * k // n for k in range(1, n)]
+    place = sum(((us >= c).cast("int") for c in cuts), F.lit(0))
+    return [df.where(F.coalesce(place, F.lit(0)) == k) for k in range(n)]
+
+
+def run_slices(slices: list[DataFrame], build, tag: str, progress: list | None = None) -> DataFrame:
+    """A stream over a growing folder: each slice is added, then the query goes
+    on from its checkpoint to the end of its input. Append mode: a window is
+    written once, when the watermark has passed it, and its state is dropped.
+
+    build: the streaming DataFrame of the folder -> the result's.
+    """
+    spark = slices[0].sparkSession
+    src, out, ckpt = (scratch_path(spark, f"{tag}-{x}") for x in ("in", "out", "ckpt"))
+    result = None
+    for part in slices:
+        part.write.mode("append").parquet(src)
+        result = build(spark.readStream.schema(part.schema).parquet(src))
+        q = result.writeStream.outputMode("append").option("checkpointLocation", ckpt) \
+            .foreachBatch(lambda df, epoch: write_epoch(df, epoch, out)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        if progress is not None:
+            progress.extend(q.recentProgress)
+    return spark.read.schema(result.schema).parquet(out)
+
+
+class Counts(StreamingQueryListener):
+    """Adds up what the callbacks of one query name report."""
+
+    def __init__(self, name: str):
+        self.name, self.id = name, None
+        self.started = self.ended = self.batches = self.rows = 0
+        self.over = threading.Event()
+
+    def onQueryStarted(self, event):
+        if event.name == self.name:
+            self.id, self.started = event.id, self.started + 1
+
+    def onQueryProgress(self, event):
+        if event.progress.name == self.name:
+            self.batches += event.progress.numInputRows > 0
+            self.rows += event.progress.numInputRows
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        if event.id == self.id:
+            self.ended += 1
+            self.over.set()
+
+
 # ------------------------------------------------------------ keyed state
 
 STATE_OUT = "user_id LONG, n LONG, total DOUBLE"
