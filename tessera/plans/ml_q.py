@@ -329,14 +329,16 @@ def _labeled_docs(spark, sf_dir, num_features=1024):
 
 @register("feat_select")
 def q_feat_select(spark, sf_dir):
+    """The features that three selectors keep of the hashed words and the length."""
     d = _labeled_docs(spark, sf_dir, 256)
     a = FT.ChiSqSelector(numTopFeatures=20, featuresCol="features", labelCol="label", outputCol="chi").fit(d)
     u = FT.UnivariateFeatureSelector(featuresCol="features", labelCol="label", outputCol="uni",
                                      selectionMode="numTopFeatures").setFeatureType("continuous") \
         .setLabelType("categorical").setSelectionThreshold(20).fit(d)
     v = FT.VarianceThresholdSelector(featuresCol="features", outputCol="var", varianceThreshold=0.5).fit(d)
-    return spark.createDataFrame([("chisq", len(a.selectedFeatures)), ("univariate", len(u.selectedFeatures)),
-                                  ("variance", len(v.selectedFeatures))], "selector string, n_selected int")
+    chosen = {"chisq": a, "univariate": u, "variance": v}      # at most 257 features each
+    return spark.createDataFrame([(name, int(i)) for name, m in chosen.items() for i in m.selectedFeatures],
+                                 "selector string, feature int")
 
 
 @register("feat_pca_svd", """
