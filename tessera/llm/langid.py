@@ -10,8 +10,11 @@ probabilities; the languages' scores give the posterior.
 Learning takes about LEARN_DOCS documents per language (all, if fewer; else
 the lowest share of the rows' hashes), whole texts; scoring reads every whole
 text. Words are runs of letters, lower-cased, behind a word-start mark;
-letters outside the vocabulary cost one floor piece each; words over LONG
-letters are scored in parts of LONG letters.
+letters outside the vocabulary cost one floor piece each. Every word is summed
+whole: those up to LONG letters in batches, longer ones (text without spaces
+too) by the same recurrence in logarithms, which needs the sums at the last
+PIECE places only and can't underflow. Learning alone counts a run over LONG
+letters in parts of that length.
 
 Edge cases: a null text or one without letters is ``und`` with score 0; ties
 go to the language first by code point; repeated rows are answered each; with
@@ -34,7 +37,8 @@ from tessera.llm.common import pack_row, texts_in, worker_state
 
 LEARN_DOCS = 300
 EM_ROUNDS = 4
-LONG, PIECE = 48, 16          # letters scored at once; longest piece
+LONG, PIECE = 40, 16          # letters of a word summed in doubles (41 floor pieces are above 1e-300); longest piece
+STEP = 1 << 14                # letters of a longer word looked up at once
 FLOOR = 1e-7                  # a letter outside the vocabulary; additive smoothing
 CACHE_WORDS = 1 << 17
 START = "▁"
@@ -57,10 +61,11 @@ def vocabulary(path: str | None = None) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
-    if max(map(len, found), default=0) <= LONG:
-        return found
-    return [w[i:i + LONG] for w in found for i in range(0, len(w), LONG)]
+    return LETTERS.findall(text.lower())
+
+
+def learning_words(text: str) -> list[str]:
+    return [w[i:i + LONG] for w in words_of(text) for i in range(0, len(w), LONG)]
 
 
 def _hash_pieces(pieces: list[str]) -> np.ndarray:
@@ -130,6 +135,37 @@ class Lattice:
         return out
 
 
+def log_probs(model: dict) -> np.ndarray:
+    """The pieces' log probabilities, with a last row for "no such piece"."""
+    with np.errstate(divide="ignore"):
+        return np.log(np.vstack([model["probs"], np.zeros(len(model["langs"]))]))
+
+
+def long_word(word: str, keys: np.ndarray, rank: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """(languages,) log probabilities of one word of any length, its places
+    visited from left to right."""
+    floor, none = len(logs) - 2, len(logs) - 1
+    codes = np.frombuffer((START + word).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    sums = np.full((PIECE, logs.shape[1]), -np.inf)
+    sums[-1] = 0.0                                           # the empty prefix
+    for at in range(0, len(codes), STEP):
+        lead = min(at, PIECE - 1)                            # a piece may start before the step
+        part = codes[at - lead:at + STEP]
+        piece = np.full((len(part), PIECE), none)            # by last letter and PIECE - length
+        h = np.zeros(len(part), np.uint64)
+        for size in range(1, min(PIECE, len(part)) + 1):
+            h = h[:len(part) - size + 1] * _BASE + part[size - 1:]
+            found = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            piece[size - 1:, PIECE - size] = np.where(keys[found] == h, rank[found], floor if size == 1 else none)
+        sums = np.vstack([sums, np.empty((len(part) - lead, logs.shape[1]))])
+        for end, row in enumerate(piece[lead:]):
+            terms = sums[end:end + PIECE] + logs[row]
+            top = terms.max(axis=0)
+            sums[end + PIECE] = top + np.log(np.exp(terms - top).sum(axis=0))
+        sums = sums[-PIECE:]
+    return sums[-1]
+
+
 def learn(samples: dict[str, dict[str, int]], path: str | None = None, rounds: int = EM_ROUNDS) -> dict:
     """Model from word counts per language: sorted piece keys, their ranks, the
     languages and their piece probabilities."""
@@ -162,10 +198,11 @@ def score_words(words: list[str], model: dict) -> np.ndarray:
 
 def _predict(model: dict, schema: pa.Schema, field: str | None):
     langs = np.array([*model["langs"], "und"], object)
+    logs = log_probs(model)
 
     def batch(texts: list[str | None], known: dict, table: list) -> tuple[np.ndarray, np.ndarray]:
         split = [words_of(t) if t else [] for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
+        new = list({w for ws in split for w in ws if len(w) <= LONG and w not in known})
         if new:
             got = score_words(new, model)
             start = len(known)
@@ -176,7 +213,10 @@ def _predict(model: dict, schema: pa.Schema, field: str | None):
         best, score = np.full(len(texts), len(langs) - 1), np.zeros(len(texts))
         for i, ws in enumerate(split):
             if len(langs) > 1 and any(c.isalpha() for w in ws for c in w):
-                total = table[0][np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
+                total = sum((long_word(w, model["keys"], model["rank"], logs) for w in ws if len(w) > LONG), np.zeros(len(langs) - 1))
+                short = [known[w] for w in ws if len(w) <= LONG]
+                if short:
+                    total = total + table[0][short].sum(axis=0)
                 k = int(np.argmax(total))
                 best[i], score[i] = k, 1.0 / np.exp(np.maximum(total - total[k], -700)).sum()
         return best, score
@@ -214,7 +254,7 @@ def sample_words(docs: DataFrame, id_col: str, text: str, lang: str, limit: int
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         n: dict[str, int] = {}
         for t in pdf["text"]:
-            for word in words_of(t):
+            for word in learning_words(t):
                 n[word] = n.get(word, 0) + 1
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(n), "word": list(n), "n": list(n.values())}, dtype=object)
 

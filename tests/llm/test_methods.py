@@ -242,6 +242,33 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, np.log([total(langid.START + w) for w in words]))
 
 
+def test_long_words_are_summed_whole(monkeypatch):
+    rng = np.random.default_rng(7)
+    pieces = [langid.START, langid.START + "a", "a", "b", "ab", "aba", "ba" * 8, langid.START + "ab"]
+    keys = langid._hash_pieces(pieces)
+    order = np.argsort(keys)
+    probs = np.vstack([rng.random((len(pieces), 2)), [[langid.FLOOR] * 2]])
+    logs = langid.log_probs({"langs": ["x", "y"], "probs": probs})
+    words = ["a", "zab", "abab", "ba" * 30, "".join(rng.choice(list("abz"), 25)), "".join(rng.choice(list("ab"), 150))]
+    want = langid.Lattice(words, keys[order], order).forward(probs)[1]
+    for step in (langid.STEP, 7):
+        monkeypatch.setattr(langid, "STEP", step)
+        assert np.allclose([langid.long_word(w, keys[order], order, logs) for w in words], want)
+    monkeypatch.undo()
+    # letters that no piece has cost a floor each, however many: no underflow
+    got = langid.long_word("z" * 100_000, keys[order], order, logs)
+    assert np.allclose(got, np.log(probs[0]) + 100_000 * np.log(langid.FLOOR))
+
+
+def test_language_of_text_without_spaces(spark):
+    docs = read(spark, SF, "documents").where("text is not null and lang is not null")
+    model = langid.fit(docs)
+    joined = docs.where(langid.held_out()).select("doc_id", "lang", F.regexp_replace("text", r"[\W\d_]+", "").alias("text")) \
+        .where(F.length("text") > 200)
+    got = langid.predict(joined, model).collect()
+    assert len(got) > 20 and sum(r.lang_pred == r.lang for r in got) / len(got) > 0.9
+
+
 def test_language_held_out(spark):
     docs = read(spark, "/root/testdata/sf0.01", "documents")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
