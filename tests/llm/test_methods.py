@@ -304,10 +304,14 @@ def test_best_fit_is_tight():
     assert len(np.unique(seq)) <= math.ceil(lengths.sum() / 4096) * 1.02
 
 
-def test_top_k_matches_brute_force(spark):
+@pytest.mark.parametrize("blocks, pilot", [(1, 8192), (3, 40), (2, 3)])
+def test_top_k_matches_brute_force(spark, monkeypatch, blocks, pilot):
+    monkeypatch.setattr(topk, "QUERY_GROUP", 2)
+    monkeypatch.setattr(topk, "CHUNK", 60)
     vectors = read(spark, SF, "embeddings")
+    size = sum(len(r.embedding) for r in vectors.where("vec_id % 50 = 0 and embedding is not null").collect()) * 8
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(
-        vectors, F.col("vec_id") % 50 == 0, k=7, query_block=3, candidate_block=60).collect())
+        vectors, F.col("vec_id") % 50 == 0, k=7, query_bytes=-(-size // blocks), pilot_rows=pilot).collect())
     rows = vectors.collect()
     q = {r.vec_id: [math.floor(1024 * float(x)) for x in r.embedding] for r in rows}
     want = []
@@ -318,6 +322,23 @@ def test_top_k_matches_brute_force(spark):
     assert got == want
 
 
+def test_shared_bounds_save_products():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64))
+    c = np.floor(256 * (centres[rng.integers(40, size=4000)] + 0.3 * rng.normal(size=(4000, 64)))).T
+    q, k = c[:, :50], 10
+    rest_q, rest_c = topk.remaining(q, topk.DIMS), topk.remaining(c, topk.DIMS)
+    open_, spent = topk.search_columns(q, rest_q, c, rest_c, k, np.full(50, -np.inf))
+    scores = q.T @ c
+    shared = -np.partition(-scores[:, ::2], k - 1, axis=1)[:, k - 1]      # bounds of half the candidates
+    got, less = topk.search_columns(q, rest_q, c, rest_c, k, shared)
+    assert less < spent < scores.size * 64
+    for j in range(50):
+        want = np.sort(scores[j])[::-1][:k]
+        for at, score in (open_[j], got[j]):
+            assert np.array_equal(np.sort(score)[::-1][:k], want) and np.array_equal(scores[j, at], score)
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(12)
     x, mask = rng.normal(size=(4, 3, 2)), np.ones((4, 3, 1))
