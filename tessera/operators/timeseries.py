@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.blocks import BLOCK_ROWS, placed, running
+
 
 def rolling(df: DataFrame, by: list[str], order: list, value: str, window: int,
             min_periods: int | None = None, prefix: str = "roll_") -> DataFrame:
@@ -103,25 +105,19 @@ def ewm_mean(df: DataFrame, by: list[str], order: list, value: str, alpha: float
     return d.join(ends, same, "left").select(*df.columns, F.when(F.col("_n") > 0, out_col).alias(out))
 
 
-def fill_and_interpolate(df: DataFrame, by: list[str], order: list, value: str) -> DataFrame:
-    """Forward fill, backward fill and linear interpolation by row position."""
-    base = Window.partitionBy(*by).orderBy(*order)
-    before = base.rowsBetween(Window.unboundedPreceding, 0)
-    after = base.rowsBetween(0, Window.unboundedFollowing)
-    pos = F.row_number().over(base)
-    df = df.withColumn("_pos", pos)
+def fill_and_interpolate(df: DataFrame, by: list[str], order: list[str], value: str,
+                         size: int = BLOCK_ROWS) -> DataFrame:
+    """Forward fill, backward fill and linear interpolation by row position,
+    in blocks of ``size`` rows, so that one long group is spread."""
     known_pos = F.when(F.col(value).isNotNull(), F.col("_pos"))
-    df = df.withColumns({
-        "ffill": F.last(value, ignorenulls=True).over(before),
-        "bfill": F.first(value, ignorenulls=True).over(after),
-        "_pp": F.last(known_pos, ignorenulls=True).over(before),
-        "_np": F.first(known_pos, ignorenulls=True).over(after),
-    })
+    df = running(placed(df, by, order, size), by, {
+        "ffill": ("last", F.col(value)), "bfill": ("next", F.col(value)),
+        "_pp": ("last", known_pos), "_np": ("next", known_pos)})
     frac = (F.col("_pos") - F.col("_pp")) / (F.col("_np") - F.col("_pp"))
     interp = F.when(F.col(value).isNotNull(), F.col(value)) \
         .when(F.col("_pp").isNotNull() & F.col("_np").isNotNull(),
               F.col("ffill") + (F.col("bfill") - F.col("ffill")) * frac)
-    return df.withColumn("interp", interp).drop("_pos", "_pp", "_np")
+    return df.withColumn("interp", interp).drop("_pos", "_blk", "_pp", "_np")
 
 
 def resample(df: DataFrame, ts: str, by: str, value: str, unit: str = "hour") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import blocks as B
 from tessera.operators import timeseries as TS
 from tessera.operators.aggregates import values_of
 from tessera.operators.ranks import exact_percentiles
@@ -57,10 +58,10 @@ SELECT event_id, round(sum(value) OVER ({_EV_W} ROWS BETWEEN UNBOUNDED PRECEDING
        round(avg(value) OVER ({_EV_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving3
 FROM events""")
 def q_win_rows_frame(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t(spark, sf_dir, "events").select(
-        "event_id", F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("running"),
-        F.round(F.avg("value").over(w.rowsBetween(-2, 0)), 6).alias("moving3"))
+    rows = B.placed(t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"])
+    rows = B.moving(rows, ["user_id"], 2, {"moving3": F.avg("value").over})
+    out = B.running(rows, ["user_id"], {"running": ("sum", F.col("value"))})
+    return out.select("event_id", r("running"), r("moving3"))
 
 
 @register("win_range_frame", """
@@ -81,11 +82,10 @@ SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS
        round(o_totalprice / max(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS share_of_max
 FROM orders""")
 def q_win_aggregate(spark, sf_dir):
-    w = Window.partitionBy("o_custkey")
-    return t(spark, sf_dir, "orders").select(
-        "o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("cust_total"),
-        F.count(F.lit(1)).over(w).alias("cust_orders"),
-        F.round(F.col("o_totalprice") / F.max("o_totalprice").over(w), 6).alias("share_of_max"))
+    out = B.with_totals(t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey"], {
+        "total": F.sum("o_totalprice"), "cust_orders": F.count(F.lit(1)), "top": F.max("o_totalprice")})
+    return out.select("o_orderkey", r("total", 2).alias("cust_total"), "cust_orders",
+                      F.round(F.col("o_totalprice") / F.col("top"), 6).alias("share_of_max"))
 
 
 _LI_W = ("PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_discount, l_extendedprice "
@@ -207,7 +207,7 @@ SELECT event_id, ffill, bfill,
                   THEN ffill + (bfill - ffill) * ((pos - pp) / (np - pp)) END, 6) AS interp
 FROM f""")
 def q_win_fill(spark, sf_dir):
-    ev = t(spark, sf_dir, "events").withColumn(
+    ev = t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value").withColumn(
         "v", F.when(F.col("event_type") != "error", F.col("value")))
     out = TS.fill_and_interpolate(ev, ["user_id"], ["ts", "event_id"], "v")
     return out.select("event_id", "ffill", "bfill", r("interp"))
