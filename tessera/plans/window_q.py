@@ -178,6 +178,15 @@ def q_win_ewm(spark, sf_dir):
     return out.select("event_id", "user_id", r("ewm"))
 
 
+def _quotient(a, b):
+    """a / b of doubles where b may be zero: infinite, or NaN for 0 / 0 (the plain
+    division raises under ANSI)."""
+    down = (a < 0) != b.cast("string").startswith("-")
+    at_zero = F.when(a.isNull(), F.lit(None).cast("double")).when((a == 0) | F.isnan(a), F.lit(float("nan"))) \
+        .when(down, F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return F.when(b == 0, at_zero).otherwise(F.try_divide(a, b))
+
+
 @register("win_diff", f"""
 SELECT event_id, lag(value, 1, 0.0) OVER ({_EV_W}) AS shifted, round(value - lag(value, 1) OVER ({_EV_W}), 6) AS diff,
        round(value / lag(value, 2) OVER ({_EV_W}) - 1, 6) AS pct_change2
@@ -187,7 +196,7 @@ def q_win_diff(spark, sf_dir):
     v = F.col("value")
     return t(spark, sf_dir, "events").select(
         "event_id", F.lag(v, 1, 0.0).over(w).alias("shifted"), F.round(v - F.lag(v, 1).over(w), 6).alias("diff"),
-        F.round(v / F.lag(v, 2).over(w) - 1, 6).alias("pct_change2"))
+        F.round(_quotient(v, F.lag(v, 2).over(w)) - 1, 6).alias("pct_change2"))
 
 
 _GAP = "CASE WHEN event_type = 'error' THEN NULL ELSE value END"
