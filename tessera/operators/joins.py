@@ -7,6 +7,7 @@
 * ``interval_join``: pairs of one key within a time gap, bucketed so the
   equi-key includes the bucket (a hot key spreads over its buckets).
 * ``range_join``: point-in-interval by bin keys plus a residual predicate.
+* ``range_counts``: points per interval without any pair, from running counts at its ends.
 * ``row_index``: zipWithIndex as range partitions plus per-partition offsets.
 """
 
@@ -120,6 +121,31 @@ def range_join(points: DataFrame, value: str, intervals: DataFrame, lo: str, hi:
     return pts.join(ivs, "_bin").where((F.col(value) >= F.col(lo)) & (F.col(value) <= F.col(hi))).drop("_bin")
 
 
+def range_counts(points: DataFrame, value: str, intervals: DataFrame, lo: str, hi: str, name: str = "n") -> DataFrame:
+    """The intervals that hold a point, with the number of points in lo <= value <= hi.
+
+    No pair is formed: points are counted per distinct value, values and interval
+    ends are put in one order (range partitions, running sums in blocks), and an
+    interval's number is the count up to its upper end less that before its lower one.
+    """
+    from tessera.operators import blocks
+    ends = intervals.select(F.col(lo).cast("double").alias("_lo"), F.col(hi).cast("double").alias("_hi")) \
+        .where(F.col("_lo") <= F.col("_hi")).distinct()
+    # at equal values: lower ends, then points, then upper ends
+    marks = points.select(F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()) \
+        .groupBy("_v").agg(F.count(F.lit(1)).alias("_w")).select("_v", F.lit(1).alias("_kind"), "_w")
+    sides = ends.select(F.explode(F.array(F.struct(F.col("_lo").alias("_v"), F.lit(0).alias("_kind")),
+                                          F.struct(F.col("_hi").alias("_v"), F.lit(2).alias("_kind")))).alias("_s"))
+    marks = marks.unionByName(sides.select("_s.*").distinct().withColumn("_w", F.lit(0).cast("long")))
+    upto = blocks.running(blocks.placed(marks, [], ["_v", "_kind"]), [], {"_upto": ("sum", F.col("_w"))})
+    below = upto.where("_kind = 0").select(F.col("_v").alias("_lo"), F.col("_upto").alias("_below"))
+    within = upto.where("_kind = 2").select(F.col("_v").alias("_hi"), F.col("_upto").alias("_within"))
+    counts = ends.join(below, "_lo").join(within, "_hi") \
+        .select("_lo", "_hi", (F.col("_within") - F.col("_below")).alias(name)).where(F.col(name) > 0)
+    return intervals.withColumns({"_lo": F.col(lo).cast("double"), "_hi": F.col(hi).cast("double")}) \
+        .join(counts, ["_lo", "_hi"]).drop("_lo", "_hi")
+
+
 def row_index(df: DataFrame, order_col: str, num_partitions: int | None = None,
               name: str = "idx") -> DataFrame:
     """0-based consecutive index in the global order of order_col (unique).
