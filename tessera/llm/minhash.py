@@ -183,10 +183,22 @@ def _alike(common, a, b, similar: int):
     return 100 * common >= similar * (a + b - common)
 
 
+def _pair(x, y) -> list:
+    """a, b of a pair: first the one of the smaller hash, a star's center, so that
+    few classes come first."""
+    first = F.xxhash64(x) < F.xxhash64(y)      # of one long the hash is one-to-one
+    return [F.when(first, x).otherwise(y).alias("a"), F.when(first, y).otherwise(x).alias("b")]
+
+
+def sets_of(pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
+    """The sets that a side of the (written) pairs asks for; no other is shuffled."""
+    asked = broadcast_if_few(pairs.select(F.col(side).alias("rep")).distinct())
+    return sets.join(asked, "rep", "left_semi").select(F.col("rep").alias(side), F.col("hashes").alias(f"h{side}"))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike."""
-    a = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha"))
-    b = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"))
+    """The pairs (a, b) whose full sets are alike; a written table."""
+    a, b = sets_of(pairs, "a", sets), sets_of(pairs, "b", sets)
     common = F.size(F.array_intersect("ha", "hb")).cast("long")
     return pairs.join(a, "a").join(b, "b") \
         .where(_alike(common, F.size("ha").cast("long"), F.size("hb").cast("long"), similar)).select("a", "b")
@@ -199,7 +211,7 @@ def stars(members: DataFrame) -> DataFrame:
     center = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n")).alias("c"))
     near = members.join(center, "bucket").where(
         (F.col("rep") != F.col("c.rep")) & (100 * F.least("n", F.col("c.n")) >= SIMILAR * F.greatest("n", F.col("c.n"))))
-    return near.select(F.least("rep", F.col("c.rep")).alias("a"), F.greatest("rep", F.col("c.rep")).alias("b")).distinct()
+    return near.select(*_pair(F.col("rep"), F.col("c.rep"))).distinct()
 
 
 def more_stars(members: DataFrame) -> DataFrame:
@@ -208,7 +220,7 @@ def more_stars(members: DataFrame) -> DataFrame:
     centers = members.where("NOT main").select("bucket", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("ccomp"))
     near = members.join(centers, "bucket").where(
         (F.col("comp") != F.col("ccomp")) & (100 * F.least("n", "cn") >= SIMILAR * F.greatest("n", "cn")))
-    return near.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
+    return near.select(*_pair(F.col("rep"), F.col("c"))).distinct()
 
 
 def open_members(members: DataFrame) -> DataFrame:
@@ -300,12 +312,24 @@ def similar_components(members: DataFrame, hashes: DataFrame, similar: int = SIM
     few = F.col("rows") <= SMALL
     again = more_stars(rest.where(few)).join(pairs, ["a", "b"], "left_anti")
     more = confirmed(write_table(again, "minhash-pairs"), hashes, similar)
-    found = cells(rest.where(~few)).join(hashes, "rep").groupBy("bucket", "i", "j") \
+    placed = cells(rest.where(~few))
+    found = placed.join(hashes.join(broadcast_if_few(placed.select("rep").distinct()), "rep", "left_semi"), "rep").groupBy("bucket", "i", "j") \
         .applyInPandas(_cell_links(similar), "a long, b long")
     more = write_table(more.union(found).distinct(), "minhash-links")
     return roots if more.isEmpty() else write_table(components(links.union(more)), "minhash-roots")
 
 
+def one_of_each(hashes: DataFrame) -> DataFrame:
+    """(rep, hashes) with one row per rep. The rows of a rep are equal, and several
+    come of rows of one id and set alone, so that mostly no set is shuffled."""
+    several = write_table(hashes.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("rep"), "minhash-repeated")
+    if several.isEmpty():
+        return hashes
+    several = broadcast_if_few(several)
+    one = hashes.join(several, "rep", "left_semi").groupBy("rep").agg(F.first("hashes").alias("hashes"))
+    return write_table(hashes.join(several, "rep", "left_anti").unionByName(one), "minhash-hashes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. The sets of
     classes that share a bucket with another are made again from their texts;
@@ -325,8 +349,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # rows of the asked documents, by id; among rows of one id the key tells
     few = broadcast_if_few(asked.select(F.col("rep_doc").alias("id_")).distinct())
     again = with_sets(rows.join(few, rows["doc_id"].eqNullSafe(few["id_"]), "left_semi"), shingle, "hashes")
-    hashes = again.join(asked.select("key", "rep"), "key").groupBy("rep").agg(F.first("hashes").alias("hashes"))
-    roots = similar_components(members, write_table(hashes, "minhash-hashes"))
+    hashes = one_of_each(write_table(again.join(broadcast_if_few(asked.select("key", "rep")), "key").select("rep", "hashes"), "minhash-hashes"))
+    roots = similar_components(members, hashes)
     named = classes.join(roots, classes["rep"] == roots["node"], "left") \
         .select("key", "least_id", F.coalesce("root", "rep").alias("root"))
     named = write_table(named, "minhash-named")

@@ -352,3 +352,17 @@ def test_negatives_beyond_doubles(spark, big, stops):
     got = mined(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"))
     exact = plain_negatives([(i, l, tuple(int(256 * x) for x in v)) for i, l, v in rows])
     assert len(exact) == 2 and got == ([] if stops else exact)      # stopped scores are all alike: none below 90%
+
+
+def test_minhash_shuffles_only_the_sets_that_pairs_ask_for(spark):
+    """Round 3, op11: centers come first in a pair, and a side's sets are those of its classes alone."""
+    members = spark.createDataFrame([(b, r, 10) for b in (1, 2) for r in range(30)], "bucket long, rep long, n long")
+    pairs = minhash.stars(members).persist()
+    assert pairs.count() == 29 and pairs.select("a").distinct().count() == 1
+    again = minhash.more_stars(members.selectExpr("bucket", "rep", "n", "rep AS comp", "false AS main"))
+    assert pairs.join(again, ["a", "b"], "left_anti").count() == 0 and again.count() == 30 * 29 / 2
+    sets = spark.createDataFrame([(r, list(range(10))) for r in range(100)], "rep long, hashes array<long>")
+    assert minhash.sets_of(pairs, "a", sets).count() == 1 and minhash.sets_of(pairs, "b", sets).count() == 29
+    assert minhash.confirmed(pairs, sets).count() == 29
+    twice = minhash.one_of_each(sets.union(sets.where("rep < 3")))
+    assert sorted(r.rep for r in twice.collect()) == list(range(100))
