@@ -312,8 +312,9 @@ def similar_components(members: DataFrame, hashes: DataFrame, similar: int = SIM
     few = F.col("rows") <= SMALL
     again = more_stars(rest.where(few)).join(pairs, ["a", "b"], "left_anti")
     more = confirmed(write_table(again, "minhash-pairs"), hashes, similar)
-    placed = cells(rest.where(~few))
-    found = placed.join(hashes.join(broadcast_if_few(placed.select("rep").distinct()), "rep", "left_semi"), "rep").groupBy("bucket", "i", "j") \
+    large = rest.where(~few)
+    asked = broadcast_if_few(large.select("rep").distinct())
+    found = cells(large).join(hashes.join(asked, "rep", "left_semi"), "rep").groupBy("bucket", "i", "j") \
         .applyInPandas(_cell_links(similar), "a long, b long")
     more = write_table(more.union(found).distinct(), "minhash-links")
     return roots if more.isEmpty() else write_table(components(links.union(more)), "minhash-roots")
