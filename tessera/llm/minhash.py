@@ -331,6 +331,14 @@ def one_of_each(hashes: DataFrame) -> DataFrame:
     return write_table(hashes.join(several, "rep", "left_anti").unionByName(one), "minhash-hashes")
 
 
+def first_rows(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """The prints of the classes' first rows. Copies are looked for by key and left
+    out by rid (a long each): they are the fewer, so that mostly no bands are shuffled."""
+    several = broadcast_if_few(classes.where("rows > 1").select("key", "rep"))
+    copies = write_table(prints.select("rid", "key").join(several, "key").where("rid <> rep").select("rid"), "minhash-copies")
+    return prints.join(broadcast_if_few(copies), "rid", "left_anti")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. The sets of
     classes that share a bucket with another are made again from their texts;
@@ -339,11 +347,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     prints = write_table(with_sets(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), shingle,
                                    "bands"), "minhash-prints")
     # the copies of a set: its first row stands for them
-    classes = prints.where("key IS NOT NULL").groupBy("key").agg(
-        F.min(F.struct("rid", "doc_id")).alias("first"), F.min("doc_id").alias("least_id"))
+    filled = prints.where("key IS NOT NULL")
+    classes = filled.groupBy("key").agg(
+        F.min(F.struct("rid", "doc_id")).alias("first"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"))
     classes = write_table(classes.select("key", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("rep_doc"),
-                                         "least_id"), "minhash-classes")
-    bands = prints.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("rep"), "n", "bands")
+                                         "least_id", "rows"), "minhash-classes")
+    bands = first_rows(filled, classes).select(F.col("rid").alias("rep"), "n", "bands")
     members = write_table(shared_buckets(bands), "minhash-members")
     asked = write_table(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "rep_doc", "key"),
                         "minhash-asked")

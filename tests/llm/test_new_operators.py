@@ -366,3 +366,20 @@ def test_minhash_shuffles_only_the_sets_that_pairs_ask_for(spark):
     assert minhash.confirmed(pairs, sets).count() == 29
     twice = minhash.one_of_each(sets.union(sets.where("rep < 3")))
     assert sorted(r.rep for r in twice.collect()) == list(range(100))
+
+
+def test_minhash_shuffles_no_bands_to_leave_copies_out(spark, tmp_path):
+    """Round 3, op11: with joins by size off, as on large tables, the bands of the first rows are read where they lie."""
+    rows = [(r, r % 40 if r < 60 else r, [r] * 64) for r in range(200)]
+    spark.createDataFrame(rows, "rid long, key long, bands array<long>").write.parquet(f"{tmp_path}/prints")
+    prints = spark.read.parquet(f"{tmp_path}/prints")
+    classes = prints.groupBy("key").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = minhash.first_rows(prints, classes)
+        assert sorted(r.rid for r in first.collect()) == [r for r in range(200) if not 40 <= r < 60]
+        plan = first._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
